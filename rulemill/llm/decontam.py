@@ -38,12 +38,23 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _shard(doc_words: list[list[bytes]]) -> tuple[bytes, bytes, bytes, bytes]:
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _shard(texts: list[str | None]) -> tuple[bytes, bytes, bytes, bytes]:
     """Term list, posting counts, posting deltas and document lengths. One free position parts neighbouring documents."""
-    seen: dict[bytes, int] = {}
-    number = seen.setdefault
-    lengths = np.array([len(w) for w in doc_words], np.int64)
-    tokens = np.fromiter((number(w, len(seen)) for ws in doc_words for w in ws), np.int32, int(lengths.sum()))
+    seen, parts = _Numbers(), []
+    for text in texts:
+        ws = words(text)
+        parts.append(np.fromiter(map(seen.__getitem__, ws), np.int32, len(ws)))
+    lengths = np.array([len(x) for x in parts], np.int64)
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del parts
     at = np.arange(len(tokens), dtype=np.int64) + np.repeat(np.arange(len(lengths)), lengths)
     order = np.argsort(tokens, kind="stable")
     counts = np.bincount(tokens, minlength=len(seen)) if len(tokens) else np.zeros(0, np.int64)
@@ -54,13 +65,13 @@ def _shard(doc_words: list[list[bytes]]) -> tuple[bytes, bytes, bytes, bytes]:
     return b"\n".join(seen), _planes(counts), _planes(deltas), _planes(lengths)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 12 << 20) -> DataFrame:
     """One row per shard of at most ``shard_bytes`` of text (or one longer document): ids, terms, counts, deltas, lengths. Null and empty texts have no words but keep their place."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "_text", shard_bytes):
-            parts = _shard([words(x) for x in batch.column(1).to_pylist()])
+            parts = _shard(batch.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([p], pa.binary()) for p in parts)], ["ids", "terms", "counts", "deltas", "lengths"])
 
