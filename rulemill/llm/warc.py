@@ -273,7 +273,7 @@ def read_archives(manifest: DataFrame, folder: str, id_type: str = "long", id_co
                 if rows:
                     yield _batch(rows)
 
-    read = manifest.select("file").repartition(F.col("file")).mapInArrow(run, "id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, date string")
+    read = manifest.select("file").repartition(max(1, min(manifest.count(), 100_000)), F.col("file")).mapInArrow(run, "id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, date string")
     return read.select(F.col("id").cast(id_type).alias(id_col), "target_uri", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), "record_id", "date")
 
 
