@@ -151,3 +151,41 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
     near = with_lookup(edges, "u", least, "_n", hot_limit(n)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+class Memo(dict):
+    """Values by key, made when first asked for. It is emptied between batches once it holds ``most`` keys."""
+
+    def __init__(self, make, most: int = 400_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> bool:
+        if len(self) > self.most:
+            self.clear()
+            return True
+        return False
+
+
+def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them picked by a hash of the id where there are more. Only for fitting on labelled rows."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts (_text) with labels (_y) of at most about ``most`` documents outside the held-out split.
+
+    A document with several label rows gets the larger label; null labels and ids are left out. Only the bounded sample of ids is broadcast.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, mod) != held)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    picked = bounded_sample(stored(known, "labels"), "_id", most)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", "_y")
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
