@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, sharding, spiece, toxicity, warc
+from . import decontam, langid, lm, neardup, quality, sharding, spiece, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(_read(spark, sf_dir, "documents"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "place")
@@ -41,6 +45,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_read(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
@@ -52,9 +60,11 @@ QUERIES = {
         op1_language_id,
         op2_sentencepiece,
         op3_toxicity,
+        op4_kneser_ney,
         op6_feistel_shards,
         op7_decontamination,
         op8_quality,
+        op9_chosen_path,
         op10_warc,
     )
 }
