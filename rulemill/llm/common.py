@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import math
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,3 +192,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each session, so that they need no installation or path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rulemill_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.mkdtemp()  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "rulemill.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(os.path.join(top, "rulemill")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), top))
+    sc.addPyFile(path)
+    sc._rulemill_shipped = True

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, neardup, quality, sharding, spiece, toxicity, warc
+from . import ann, common, decontam, langid, lm, neardup, quality, sharding, spiece, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    common.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -30,6 +31,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.fit_and_score(_read(spark, sf_dir, "documents"))
 
 
+def op5_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "place")
@@ -61,6 +66,7 @@ QUERIES = {
         op2_sentencepiece,
         op3_toxicity,
         op4_kneser_ney,
+        op5_itq_links,
         op6_feistel_shards,
         op7_decontamination,
         op8_quality,
