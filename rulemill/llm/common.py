@@ -210,3 +210,58 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), top))
     sc.addPyFile(path)
     sc._rulemill_shipped = True
+
+
+def sorted_groups(batches: Iterator, keys: int) -> Iterator:
+    """Cut a partition that is sorted by its first ``keys`` integer columns into one record batch per key."""
+    import pyarrow as pa
+
+    def joined(parts):
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)], 1)
+        cuts = np.flatnonzero(np.concatenate(([True], (columns[1:] != columns[:-1]).any(1))))
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            key = tuple(columns[a])
+            if held and key != last:
+                yield joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield joined(held)
+
+
+def scored(docs: DataFrame, probability, id_col: str, text_col: str, mod: int, held: int, threshold: float, keep: list[str] | None) -> DataFrame:
+    """id, the columns named in ``keep``, held_out, score and predicted. ``probability()`` gives, in a worker, a function of a list of texts."""
+    import pyarrow as pa
+
+    kept = [f for f in docs.schema.fields if f.name in (keep or []) and f.name not in (id_col, text_col)]
+    names = [f"_k{i}" for i in range(len(kept))]
+    with_text = text_col in (keep or [])
+
+    def run(batches: Iterator) -> Iterator:
+        score = probability()
+        for batch in pieces(batches, "_text", 8 << 20):
+            p = pa.array(score(batch.column(1).to_pylist()), pa.float64())
+            columns = [batch.column(0), *([batch.column(1)] if with_text else []), *(batch.column(i + 2) for i in range(len(names))), p]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", *(["_text"] if with_text else []), *names, "_score"])
+
+    kind = lambda f: f.dataType.simpleString()
+    schema = ", ".join([f"_id {kind(docs.schema[id_col])}", *(["_text string"] if with_text else []), *(f"{n} {kind(f)}" for n, f in zip(names, kept, strict=True)), "_score double"])
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)])
+    out = source.mapInArrow(run, schema)
+    own = [F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if with_text else []), *[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)]]
+    return out.select(*own, (crc_mod("_id", mod) == held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
+    """Rows of docs whose id is not in ids (one column). Up to ``most`` ids are broadcast; more are joined by a shuffle. Null ids stay."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_gone")).where("_gone IS NOT NULL").distinct()
+    ids = stored(ids, "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col("_gone"), "left_anti")

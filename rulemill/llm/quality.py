@@ -195,17 +195,9 @@ def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str
     A null or empty text is pooled to zeros and scored like others. A null id is never held out. Repeated rows give repeated results.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name in (keep or [])]
-    names = [f"_k{i}" for i in range(len(kept))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probability():
         net, memo = shared.value, common.Memo(term)
-        for batch in common.pieces(batches, "_text", 8 << 20):
-            p = net.probability(pool(batch.column(1).to_pylist(), net.vectors, memo))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i + 2) for i in range(len(names))), pa.array(p, pa.float64())], ["_id", *names, "score"])
-
-    kind = lambda f: f.dataType.simpleString()
-    schema = ", ".join([f"_id {kind(docs.schema[id_col])}", *(f"{n} {kind(f)}" for n, f in zip(names, kept, strict=True)), "score double"])
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(f.name).alias(n) for n, f in zip(names, kept, strict=True)]).mapInArrow(run, schema)
-    out = out.withColumn("held_out", common.crc_mod("_id", mod) == held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return out.select(F.col("_id").alias(id_col), *[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)], "held_out", "score", "predicted")
+        return lambda texts: net.probability(pool(texts, net.vectors, memo))
+
+    return common.scored(docs, probability, id_col, text_col, mod, held, threshold, keep)

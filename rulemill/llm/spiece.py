@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,7 +229,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             columns = [batch.column(0), pa.array([i.count(" ") + 1 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows])]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns.append(pa.array([[int(x) for x in i.split(" ")] for i, _ in rows], pa.list_(pa.int32())))
+                values = [np.array(i.split(" "), dtype=np.int32) for i, _ in rows]
+                offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))))
                 names.append("ids")
             if decoded:
                 columns.append(pa.array([d for _, d in rows]))
