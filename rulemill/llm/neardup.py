@@ -30,6 +30,7 @@ DEPTH = 6
 #: Sketch bits that may differ. At similarity 0.8 they are 6.4 on average, with a deviation of 2.4.
 SKETCH_BITS = 19
 MOST_BROADCAST_IDS = 500_000
+LEAF_BLOCK = 2048
 _MASK = (1 << 64) - 1
 
 
@@ -156,15 +157,8 @@ def _likely(na, nb, sa, sb, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.bit_count(sa.bitwiseXOR(sb)) <= SKETCH_BITS)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of class representatives whose full sets link: 100 * intersection >= percent * union.
-
-    Sets are made again from the whole texts of the documents that occur in a pair. These ids are broadcast up to a fixed number and joined by a shuffle beyond it.
-    """
-    pairs = common.stored(pairs.select("a", "b").distinct(), "pairs")
-    need = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "fp"), "rep"), "need")
-    if need.count() <= MOST_BROADCAST_IDS:
-        need = F.broadcast(need)
+def _sets(docs: DataFrame, need: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id and set (its sorted hashes) of the classes named in need (rep, fp), made again from whole texts. These ids are broadcast up to a fixed number and joined by a shuffle beyond it."""
     kind = classes.schema["rep"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +169,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
             same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(2).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(same)
 
+    if need.count() <= MOST_BROADCAST_IDS:
+        need = F.broadcast(need)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(need, F.col("_id") == F.col("rep")).select("_id", "_text", "fp")
-    sets = common.stored(source.mapInArrow(make, f"id {kind}, set binary"), "sets")
+    return source.mapInArrow(make, f"id {kind}, set binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of class representatives whose full sets link: 100 * intersection >= percent * union.
+
+    Sets are made again from the whole texts of the documents that occur in a pair.
+    """
+    pairs = common.stored(pairs.select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct()).distinct()
+    need = common.stored(ends.join(classes.select("rep", "fp"), "rep"), "need")
+    kind = classes.schema["rep"].dataType.simpleString()
+    sets = common.stored(_sets(docs, need, classes, width, id_col, text_col), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,15 +210,52 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return each.where(_likely(F.col("x.n"), F.col("y.n"), F.col("x.sk"), F.col("y.sk"), percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def _leaf_pairs(members: DataFrame, percent: int, salts: int = 32) -> DataFrame:
-    """Likely pairs of different components within large nodes at the last depth: those outside the node's largest component against all, the latter dealt by a salt."""
-    sizes = members.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("node", F.col("top")["comp"].alias("main"), F.lit(0).alias("none"))
-    marked = members.join(sizes.withColumnRenamed("k", "k_"), ["node", "comp"]).join(main, "node")
-    rest = marked.where("comp <> main").select("node", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("sk").alias("rs"), F.col("comp").alias("rc"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    every = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-    pairs = every.join(rest, ["node", "salt"]).where((F.col("comp") != F.col("rc")) & (F.col("rep") != F.col("r")) & _likely(F.col("n"), F.col("rn"), F.col("sk"), F.col("rs"), percent))
-    return pairs.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+def _leaf_links(leaves: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = LEAF_BLOCK) -> DataFrame:
+    """Links (a, b) between different components within large nodes at the last depth: each class outside the node's largest component against all of the node, on full sets.
+
+    Members and outsiders are dealt into blocks, and each pair of blocks is compared by itself, by counting in lists of the members that hold each shingle. Of the links
+    of a class with one component, one is returned.
+    """
+    sizes = leaves.groupBy("node", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("c"))
+    main = main.select("node", F.struct(F.col("top")["comp"].alias("comp"), "comps", F.ceil(F.col("c") / block).cast("int").alias("mb"), F.ceil((F.col("c") - F.col("top")["k"]) / block).cast("int").alias("rb")).alias("main"), "c")
+    mixed = common.stored(common.with_lookup(leaves, "node", main, "c", common.hot_limit(leaves.count())).where("main.comps > 1"), "mixed")
+    need = common.stored(mixed.select("rep").distinct().join(classes.select("rep", "fp"), "rep"), "need")
+    sets = common.stored(_sets(docs, need, classes, width, id_col, text_col), "leaf-sets")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(f"main.{n}")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"main.{n}") - 1))
+    members = mixed.select("node", every("rb").alias("rb"), deal("mb").alias("mb"), F.lit(0).alias("role"), "rep", "comp")
+    outside = mixed.where("comp <> main.comp").select("node", deal("rb").alias("rb"), every("mb").alias("mb"), F.lit(1).alias("role"), "rep", "comp")
+    rows = members.unionByName(outside).join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("node", "rb", "mb", "role", "rep", "comp", "set")
+    kind = classes.schema["rep"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.sorted_groups(batches, 3):
+            role, comp = group.column(3).to_numpy(zero_copy_only=False), np.array(group.column(5).to_pylist())
+            held = [np.frombuffer(x, np.uint64) for x in group.column(6).to_pylist()]
+            inside, outer = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            if not len(inside) or not len(outer):
+                continue
+            n = np.array([len(held[i]) for i in inside])
+            values, owner = np.concatenate([held[i] for i in inside]), np.repeat(np.arange(len(inside)), n)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            ones, others = [], []
+            for x in outer:
+                mine = held[x]
+                lo, hi = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+                count = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(inside))
+                linked = np.flatnonzero((100 * both >= percent * (len(mine) + n - both)) & (comp[inside] != comp[x]))
+                _, first = np.unique(comp[inside[linked]], return_index=True)
+                ones.extend([x] * len(first))
+                others.extend(inside[linked[first]])
+            rep = group.column(4)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(ones, pa.int64())), rep.take(pa.array(others, pa.int64()))], ["a", "b"])
+
+    dealt = rows.repartition("node", "rb", "mb").sortWithinPartitions("node", "rb", "mb")
+    return common.stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}"), "leaf-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL_NODE, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,14 +297,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     members = smalls[0]
     for x in smalls[1:]:
         members = members.unionByName(x)
-    more = _across(with_comp(members), percent)
+    more = common.stored(_across(with_comp(members), percent).distinct(), "more")
+    extra = [] if more.isEmpty() else [confirm(more, docs, classes, width, percent, id_col, text_col)]
     if leaves is not None:
-        more = more.unionByName(_leaf_pairs(common.stored(with_comp(leaves), "leaves"), percent))
-    more = common.stored(more.distinct(), "more")
-    if not more.isEmpty():
-        extra = confirm(more, docs, classes, width, percent, id_col, text_col)
-        if not extra.isEmpty():
-            comps = common.stored(common.components(links.unionByName(extra)), "components")
+        extra.append(_leaf_links(common.stored(with_comp(leaves), "leaves"), docs, classes, width, percent, id_col, text_col))
+    extra = [x for x in extra if not x.isEmpty()]
+    for x in extra:
+        links = links.unionByName(x)
+    if extra:
+        comps = common.stored(common.components(links), "components")
     ids = classes.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = common.with_lookup(described.select("id", "n", "fp"), "fp", ids, "copies", common.hot_limit(total))
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
