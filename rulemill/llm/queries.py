@@ -56,7 +56,7 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_read(spark, sf_dir, "pages"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
@@ -75,4 +75,34 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _components(links: str, nodes: str, node: str) -> str:
+    """CTEs: reach (every pair of connected vertices) and comp (the smallest reachable one of each vertex)."""
+    return f"reach AS (SELECT {node} AS x, {node} AS y FROM {nodes} UNION SELECT r.x, l.b FROM reach r JOIN {links} l ON r.y = l.a), comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)"
+
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = r"regexp_extract_all(" + _ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+#: DuckDB SQL by other means than the operators': all pairs, joins on whole windows, recursion. The rest is tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_itq_links": "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.95), "
+    + _components("links", "v", "vec_id")
+    + " SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON x = vec_id",
+    "op7_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+    k AS (SELECT item_id, ws, least(8, len(ws)) AS k FROM i WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM k)),
+    dw AS (SELECT doc_id, j, k, array_to_string(ws[j:j + k - 1], ' ') AS g FROM (SELECT doc_id, ws, s.k, unnest(range(1, len(ws) - s.k + 2)) AS j FROM d, (SELECT DISTINCT k FROM win) s)),
+    hit AS (SELECT doc_id, j, k, item_id FROM dw JOIN win USING (k, g)),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hit) GROUP BY 1),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY 1)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_chosen_path": f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[j:j + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS j FROM d WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+    {_components("links", "d", "doc_id")}
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp ON x = doc_id""",
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY 1)
+    SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (h)""",
+}
