@@ -43,9 +43,10 @@ def latest(samples: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return samples.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def latency_by(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, average, maximum and nearest-rank p99 of a value by key."""
-    return samples.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("avg_value"), F.max(value).alias("max_value"), F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY `{value}`)").alias("p99"))
+def latency_by(samples: DataFrame, key: str, value: str, exact: bool = True) -> DataFrame:
+    """Count, average, maximum and nearest-rank p99 of a value by key. The exact p99 holds a key's distinct values in one task; ``exact=False`` takes a sketch of bounded size."""
+    p99 = f"percentile_disc(0.99) WITHIN GROUP (ORDER BY `{value}`)" if exact else f"percentile_approx(`{value}`, 0.99, 10000)"
+    return samples.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("avg_value"), F.max(value).alias("max_value"), F.expr(p99).alias("p99"))
 
 
 def slow(latencies: DataFrame, key: str, threshold: float | None = None, n: int | None = None) -> DataFrame:

@@ -240,4 +240,5 @@ def relational_division(view: EventView, compiled: CompiledRules) -> DataFrame:
     tests = F.array_compact(F.array(*[F.when(predicate_column(view, p), F.lit(i)) for p, i in number.items()]))
     satisfied = view.df.select("event_id", F.explode(tests).alias("pred")).distinct()
     posts = needs.select("rule_code", "priority", "description", "family", "needs", F.explode("preds").alias("pred"))
-    return satisfied.join(F.broadcast(posts), "pred").groupBy("event_id", "rule_code", "priority", "description", "family", "needs").agg(F.countDistinct("pred").alias("n")).where("n = needs").select("event_id", "rule_code", "priority", "description", "family")
+    side = F.broadcast(posts) if sum(len(r.predicates) for r in rules) <= MOST_BROADCAST_ROWS else posts
+    return satisfied.join(side, "pred").groupBy("event_id", "rule_code", "priority", "description", "family", "needs").agg(F.countDistinct("pred").alias("n")).where("n = needs").select("event_id", "rule_code", "priority", "description", "family")

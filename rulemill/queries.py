@@ -520,3 +520,24 @@ def _(spark, sf_dir):
     found = _out(evaluate_stream(event_view(stream, json={"props": "k long"}), compile_rules(rules)))
     found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
+@query(
+    "hot_reload",
+    f"WITH t AS {_EV_SQL} SELECT event_id, 'OLD' AS rule_code, 1 AS priority FROM t WHERE event_id % 3 = 0 AND upper(event_type) = 'CLICK' UNION ALL SELECT event_id, 'NEW', 2 FROM t WHERE event_id % 3 <> 0 AND upper(event_type) = 'VIEW'",
+)
+def _(spark, sf_dir):
+    """Three micro-batches: the rules change before the second; before the third they break, which keeps the second's."""
+    import json
+    import uuid
+
+    from .streaming import RuleSource, StreamEvaluator
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/reload-{uuid.uuid4().hex}"
+    files = [json.dumps([rule("OLD", ("event_type", "EQ", "click"), priority=1)]), json.dumps([rule("NEW", ("event_type", "EQ", "view"), priority=2)]), "[{ broken"]
+    run = StreamEvaluator(RuleSource(spark, f"{base}/rules"), lambda df, n: _out(df).write.mode("append").parquet(f"{base}/out"))
+    events_ = _read(spark, sf_dir, "events")
+    for n, text in enumerate(files):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/rules")
+        run(events_.where(F.col("event_id") % 3 == n), n)
+    return spark.read.parquet(f"{base}/out")

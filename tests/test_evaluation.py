@@ -151,3 +151,9 @@ def test_empty_batch_stats(spark):
     some = spark.createDataFrame([(1, 0, 10), (2, 3, 21)], "event_id int, n_matched long, ns long")
     r = metrics.batch_stats(some, "ns").first()
     assert (r.total_events, r.match_rate, r.avg_nanos, r.min_nanos, r.max_nanos, r.avg_matched) == (2, 0.5, 15, 10, 21, 1.5)
+
+
+def test_percentile_sketch(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id AS v")
+    exact, near = ({r.k: r.p99 for r in metrics.latency_by(df, "k", "v", exact=e).collect()} for e in (True, False))
+    assert exact == {0: 988, 1: 989} and all(abs(exact[k] - near[k]) <= 2 for k in exact)
