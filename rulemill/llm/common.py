@@ -104,12 +104,12 @@ def texts(batch, column: int = 1) -> list[str]:
 
 
 def pieces(batches: Iterator, column: str, most: int = 1 << 25) -> Iterator:
-    """Cut Arrow batches so that each holds about ``most`` bytes of ``column``; one row is never cut."""
+    """Cut Arrow batches so that each holds about ``most`` bytes of ``column``; one row is never cut. Freed memory goes back to the system after each batch."""
+    import pyarrow.compute as pc
+
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        import pyarrow.compute as pc
-
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0
         for i, n in enumerate(lengths):
@@ -118,6 +118,21 @@ def pieces(batches: Iterator, column: str, most: int = 1 << 25) -> Iterator:
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+        del batch
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between stages, beside an executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -157,21 +172,23 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 
 
 class Memo(dict):
-    """Values by key, made when first asked for. It is emptied between batches once it holds ``most`` keys."""
+    """Values by key, made when first asked for. Between batches, once it holds ``most`` keys, they become its older half, from which those still asked for come back."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def trim(self) -> bool:
+    def trim(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-            return True
-        return False
 
 
 def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -195,7 +212,9 @@ def sigmoid(x):
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each session, so that they need no installation or path of their own."""
+    """Send this package to the Python workers, once for each session, so that they need no installation or path of their own, and keep Arrow batches of texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: 10,000 long texts are too much for one batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     if getattr(sc, "_rulemill_shipped", False):
         return

@@ -117,7 +117,7 @@ def build(counts: list[tuple[str, str, int]], k: float = 2.0) -> Model:
             table.append(np.log(source[g]))
     floor = np.log(0.1 / (total + 0.1 * (len(one) + 200))) if langs else np.zeros(0)
     table.append(floor)
-    return Model(langs, rows, np.array(table, np.float32).reshape(-1, len(langs)), floor)
+    return Model(langs, rows, np.array(table, np.float32).reshape(len(table), len(langs)), floor)
 
 
 @dataclass

@@ -75,7 +75,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 class _Sums:
     """Keys and counts gathered in a task, added up whenever many are pending."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 2_000_000):
         self.keys, self.counts, self.pending, self.most = [], [], 0, most
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sums, n_docs = common.Memo(_hash), _Sums(), 0
-        for batch in common.pieces(batches, "_text", 16 << 20):
+        for batch in common.pieces(batches, "_text", 8 << 20):
             h, _ = tokens(batch.column(0).to_pylist(), memo)
             sums.add(*np.unique(h, return_counts=True))
             n_docs += batch.num_rows
@@ -275,8 +275,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     width = -(-(n_words + FIRST) // ranges)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, memo, sums = arrays(first.value), common.Memo(_hash), _Sums(4_000_000)
-        for batch in common.pieces(batches, "_text", 16 << 20):
+        a, memo, sums = arrays(first.value), common.Memo(_hash), _Sums()
+        for batch in common.pieces(batches, "_text", 8 << 20):
             seq, _, starts, n = sequence(a, batch.column(0).to_pylist(), memo)
             keep = np.ones(len(seq), bool)
             keep[starts + n + 1] = False
@@ -408,7 +408,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, memo = arrays(shared.value), common.Memo(_hash)
-        for batch in common.pieces(batches, "_text", 16 << 20):
+        for batch in common.pieces(batches, "_text", 8 << 20):
             n, known, base, value = score_texts(a, batch.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())], ["_id", "n_tokens", "n_known", "base_score", "score"])
 
