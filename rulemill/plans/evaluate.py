@@ -2,14 +2,16 @@
 
 Three ways, equal in result:
 
-* ``join`` (default): rules of one shape (the same fields, operators and value types) form one small table of parameters, and each shape is one join. Equality and list parameters are
-  its hash keys, everything else a residual test. Rules whose shape is rare, or whose operators can't be parameters, are compiled into columns instead.
+* ``join`` (default): rules of one shape (the same fields, operators and value types) form one small table of parameters, and all shapes are one join, so events are read once. Equality and list parameters are
+  hash keys, everything else is a residual test. Rules whose shape is rare, or whose operators can't be parameters, are compiled into columns instead.
 * ``columns``: every rule becomes a boolean Column, and the matching rules an array. Nothing is shuffled or joined.
 * ``division``: events are unpivoted, joined with all predicates by field, and a rule matches an event that satisfies as many distinct predicates as it has. General and slow; the others are tested against it.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -152,16 +154,128 @@ def _joined(view: EventView, compiled: CompiledRules) -> DataFrame:
         if not _joinable(view, s) or len(shapes) > MOST_SHAPES and len(rules) < RARE:
             compiled_ones.extend(rules)
     taken = {r.code for r in compiled_ones}
-    if set(shapes) and len(taken) < len(compiled.live):
-        view = _normalised(view, [s for s, rules in shapes.items() if rules[0].code not in taken])
-    for s, rules in shapes.items():
-        if rules[0].code not in taken:
-            parts.append(_shape_join(view, s, rules))
+    joined = {s: rules for s, rules in shapes.items() if rules[0].code not in taken}
+    if len(joined) == 1:
+        ((s, rules),) = joined.items()
+        parts.append(_shape_join(_normalised(view, [s]), s, rules))
+    elif joined:
+        parts.append(_merged_join(_normalised(view, list(joined)), joined))
     if compiled_ones:
         parts.append(_exploded(_arrays(view, compiled_ones)))
     return reduce(DataFrame.unionByName, parts) if parts else _none(view)
 
 
+def _merged_join(view: EventView, shapes: dict[tuple, list[CompiledRule]]) -> DataFrame:
+    """One join for all shapes, so that events are read once however many there are.
+
+    An event becomes one row for each shape, with a key of the shape's number and the values of its hash-key fields, each led by its length. A parameter row has the same key, and its other
+    parameters in arrays; the residual test is chosen by the shape.
+    """
+    keys, residual, rows = [], None, []
+    for i, (s, rules) in enumerate(shapes.items()):
+        parts, tests = [F.lit(f"{i}|")], []
+        slots = {"nums": 0, "strs": 0, "num_lists": 0, "str_lists": 0}
+        plan: list[str] = []
+
+        def param(kind: str, slots=slots, plan=plan) -> Column:
+            slots[kind] += 1
+            plan.append(kind)
+            return F.col(kind)[slots[kind] - 1]
+
+        for f, op, kind in s:
+            here = view.kinds.get(f)
+            raw = view.column(f) if here else None
+            c = F.col(f"`_u_{f}`") if here == STRING else F.col(f"`_d_{f}`") if here == NUMBER else raw
+            if op in _KEYS and here == kind:
+                text = (c + F.lit(0.0)).cast("string") if kind == NUMBER else c.cast("string")  # -0.0 is 0.0
+                parts += [F.length(text).cast("string"), F.lit(":"), text]
+                plan.append("key")
+                continue
+            value = {NUMBER: "nums", STRING: "strs", BOOLEAN: "strs"}.get(kind)
+            if here is None or op in ("IS_NULL", "IS_NOT_NULL"):
+                plan.append("none")
+                tests.append(F.lit(op == "IS_NULL") if here is None else raw.isNull() if op == "IS_NULL" else raw.isNotNull())
+            elif op in _KEYS:
+                plan.append("none")
+                tests.append(F.lit(False))
+            elif op == "NOT_EQUAL_TO":
+                if here == kind:
+                    tests.append((c.cast("string") if kind == BOOLEAN else c) != param(value))
+                else:
+                    plan.append("none")
+                    tests.append(raw.isNotNull())
+            elif op == "IS_NONE_OF":
+                if here == kind:
+                    tests.append(raw.isNotNull() & ~F.array_contains(param("num_lists" if kind == NUMBER else "str_lists"), c))
+                else:
+                    plan.append("none")
+                    tests.append(raw.isNotNull())
+            elif op in ("CONTAINS", "STARTS_WITH", "ENDS_WITH"):
+                q = param("strs")
+                tests.append({"CONTAINS": F.contains, "STARTS_WITH": F.startswith, "ENDS_WITH": F.endswith}[op](c, q) if here == STRING else F.lit(False))
+            elif op == "BETWEEN":
+                q = param("num_lists")
+                tests.append(c.between(q[0], q[1]) & ~F.isnan(c) if here == NUMBER else F.lit(False))
+            else:
+                q = param("nums")
+                tests.append({"GREATER_THAN": c > q, "GREATER_THAN_OR_EQUAL": c >= q, "LESS_THAN": c < q, "LESS_THAN_OR_EQUAL": c <= q}[op] & ~F.isnan(c) if here == NUMBER else F.lit(False))
+        keys.append(F.struct(F.lit(i).alias("shape"), F.concat(*parts).alias("key")))
+        test = reduce(lambda x, y: x & y, tests) if tests else F.lit(True)
+        residual = F.when(F.col("e.shape") == i, test) if residual is None else residual.when(F.col("e.shape") == i, test)
+        for r in rules:
+            rows.extend(_merged_rows(i, r, plan))
+    schema = "_key string, rule_code string, priority int, description string, family string, nums array<double>, strs array<string>, num_lists array<array<double>>, str_lists array<array<string>>"
+    table = view.df.sparkSession.createDataFrame(rows, schema)
+    side = F.broadcast(table) if len(rows) <= MOST_BROADCAST_ROWS else table
+    dealt = view.df.withColumn("e", F.explode(F.array(*keys))).where(F.col("e.key").isNotNull())
+    return dealt.join(side, (F.col("e.key") == F.col("_key")) & residual).select("event_id", "rule_code", "priority", "description", "family")
+
+
+def _merged_rows(i: int, r: CompiledRule, plan: list[str]) -> list[tuple]:
+    """Parameter rows of a rule: one for each choice of list members among its hash keys."""
+    keys, slots = [f"{i}|"], {"nums": [], "strs": [], "num_lists": [], "str_lists": []}
+    for p, kind in zip(sorted(r.predicates, key=lambda p: (p[0], p[1], _value_kind(p))), plan, strict=True):
+        v = p[2]
+        if kind == "key":
+            texts = [_key_text(x) for x in (v if p[1] == "IS_ANY_OF" else [v])]
+            keys = [f"{k}{len(t)}:{t}" for k in keys for t in texts]
+        elif kind in ("num_lists", "str_lists"):
+            slots[kind].append([_param(x) for x in v])
+        elif kind != "none":
+            slots[kind].append(str(v).lower() if isinstance(v, bool) else _param(v))
+    return [(k, r.code, r.rule.priority, r.rule.description, r.rule.family, *slots.values()) for k in keys]
+
+
+def _key_text(v: Any) -> str:
+    """As Spark casts the value to text."""
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (int, float)):
+        return _double_text(float(v))
+    return v
+
+
+def _double_text(x: float) -> str:
+    """A double as Java writes it: plain from 10**-3 to 10**7, else with an exponent; the shortest digits that read back as x."""
+    x = x + 0.0
+    if x == 0:
+        return "0.0"
+    if math.isinf(x):
+        return "Infinity" if x > 0 else "-Infinity"
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + exponent  # 0.text * 10**point
+    if 1e-3 <= abs(x) < 1e7:
+        if point <= 0:
+            body = "0." + "0" * -point + text
+        elif point >= len(text):
+            body = text + "0" * (point - len(text)) + ".0"
+        else:
+            body = text[:point] + "." + text[point:]
+    else:
+        body = f"{text[0]}.{text[1:] or '0'}E{point - 1}"
+    return "-" * sign + body
+
+
 def _normalised(view: EventView, shapes: list[tuple]) -> EventView:
     """Upper-case texts and double numbers of the fields that joins read, each made once."""
     fields = {f for s in shapes for f, _, _ in s if f in view.kinds}

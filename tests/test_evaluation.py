@@ -157,3 +157,29 @@ def test_percentile_sketch(spark):
     df = spark.range(1000).selectExpr("id % 2 AS k", "id AS v")
     exact, near = ({r.k: r.p99 for r in metrics.latency_by(df, "k", "v", exact=e).collect()} for e in (True, False))
     assert exact == {0: 988, 1: 989} and all(abs(exact[k] - near[k]) <= 2 for k in exact)
+
+
+def test_doubles_as_join_keys(spark):
+    """The text of a double in a parameter table is the text that Spark casts it to."""
+    from rulemill.plans.evaluate import _double_text
+
+    r = random.Random(1)
+    xs = [0.0, -0.0, 1.0, -1.5, 1e7, 9999999.0, 12345678.9, 1e-3, 9.99e-4, 1e21, 1e-300, 42.0, 2.0**53, 0.1, 1 / 3, 1e22, float("inf"), 100.0, 1234567.0]
+    xs += [r.uniform(-1, 1) * 10 ** r.randint(-12, 15) for _ in range(500)] + [float(r.randint(-(10**r.randint(1, 15)), 10**9)) for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("x", "cast(x + 0.0D AS string) AS t").collect()
+    assert [(row.x, row.t) for row in rows if _double_text(row.x) != row.t] == []
+
+
+def test_keys_cannot_run_together(spark):
+    rules = [rule("A", ("s", "EQ", "a1:b"), ("t", "EQ", "c")), rule("B", ("n", "EQ", 0), ("s", "IN", ["x", "y"]), ("t", "NE", "q"))]
+    rows = [(1, "a1:b", "c", 5.0, None), (2, "a", "b1:c", 5.0, None), (3, "x", "r", -0.0, None), (4, "y", "q", 0.0, None), (5, "y", None, 0.0, None)]
+    for s in STRATEGIES:
+        assert matched(spark, rules, rows, SCHEMA, s) == [(1, "A"), (3, "B")]
+
+
+def test_events_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "e")
+    spark.sql("SELECT id AS event_id, string(id % 3) AS a, id AS b FROM range(10)").write.parquet(path)
+    rules = [rule("A", ("a", "EQ", "1"), ("b", "GT", 2)), rule("B", ("b", "EQ", 3)), rule("C", ("a", "IN", ["0", "2"]), ("b", "LT", 5))]
+    plan = evaluate(event_view(spark.read.parquet(path)), compile_rules(rules))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and plan.count() == 2 + 1 + 3
