@@ -30,7 +30,7 @@ UNKNOWN_SURFACE = " ⁇ "
 class MergePrefixTable:
     """The tables of one model and the encoder and decoder over them."""
 
-    def __init__(self, model: str, keep: int = 400_000):
+    def __init__(self, model: str, keep: int = 300_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -60,7 +60,9 @@ class MergePrefixTable:
         cut_ok = not any("\n" in p and len(p) > 1 or any(a != SPACE and b == SPACE for a, b in zip(p, p[1:], strict=False)) for p in self.ids)
         self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall if cut_ok else lambda text: [text] if text else []
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd = False
         self.keep = keep
 
     def merged(self, text: str) -> list[str]:
@@ -82,7 +84,7 @@ class MergePrefixTable:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 2 * self.keep:
+            if len(self.fits) >= 3 * self.keep:
                 self.fits.clear()
             known = self.fits[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -90,29 +92,24 @@ class MergePrefixTable:
     def tokens(self, text: str) -> list[str]:
         """Pieces, and single characters that are none, of a text whose spaces are escaped."""
         n = len(text)
-        if n == 0:
-            return []
-        ends: list[list[str]] = [[] for _ in range(n)]
+        last = [""] * (n + 1)
+        fits, compatible = self.fits.get, self.compatible
         for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        last: list[str] = [""] * (n + 1)
-        compatible = self.compatible
-        for j in range(n):
-            found = ""
-            for piece in ends[j]:
-                before = last[j + 1 - len(piece)]
-                if (before or j + 1 == len(piece)) and compatible(before, piece):
-                    found = piece
-                    break
-            if not found:
-                found = text[j]  # a character that is no piece joins no merge
-                if found in self.ids:
-                    raise AssertionError("no compatible last token")
-            last[j + 1] = found
+            j = end + 1
+            if last[j]:
+                continue
+            i = j - len(piece)
+            before = last[i]
+            if not before and i:
+                before = last[i] = text[i - 1]  # a character that ends no token is no piece and joins no merge
+            ok = fits((before, piece))
+            if ok or ok is None and compatible(before, piece):
+                last[j] = piece
         out, j = [], n
         while j:
-            out.append(last[j])
-            j -= len(last[j])
+            token = last[j] or text[j - 1]
+            out.append(token)
+            j -= len(token)
         out.reverse()
         return out
 
@@ -148,12 +145,21 @@ class MergePrefixTable:
             out.append(_utf8(bytes(run)))
         return "".join(out)
 
-    def _entry(self, chunk: str) -> tuple[str, str]:
-        if len(self.cache) >= self.keep:
-            self.cache.clear()
-        ids = self.chunk_ids(chunk)
-        value = (" ".join(map(str, ids)), self.surface(ids))
+    def _entry(self, chunk: str) -> str:
+        """Decimal ids of a chunk, from the younger or the older half of the cache, or anew. A full younger half becomes the older one, so frequent chunks stay.
+
+        Ids whose decoding differs from the chunk itself are not cached, and ``odd`` is set: then the text is decoded chunk by chunk.
+        """
+        value = self.cache.get(chunk) or self.older.get(chunk)
+        if value is None:
+            ids = self.chunk_ids(chunk)
+            value = " ".join(map(str, ids))
+            if self.surface(ids) != chunk.replace(SPACE, " "):
+                self.odd = True
+                return value
         if len(chunk) <= 64:
+            if len(self.cache) >= self.keep:
+                self.older, self.cache = self.cache, {}
             self.cache[chunk] = value
         return value
 
@@ -163,11 +169,16 @@ class MergePrefixTable:
             return str(self.end), ""
         escaped = self.prefix + text.replace(" ", SPACE)
         get, entry = self.cache.get, self._entry
+        self.odd = False
         found = [get(c) or entry(c) for c in self.chunks(escaped)]
-        decoded = "".join([d for _, d in found])
+        if self.odd:
+            decoded = self.surface([int(i) for x in found for i in x.split(" ")])
+        else:  # every chunk's ids decode to the chunk
+            decoded = escaped.replace(SPACE, " ")
         if self.prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return " ".join([i for i, _ in found] + [str(self.end)]), decoded
+        found.append(str(self.end))
+        return " ".join(found), decoded
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.both(text)[0].split(" ")]
