@@ -22,11 +22,27 @@ MOST_DOCUMENTS = 12_000
 EM_STEPS = 8
 PENALTY = 3.0
 LEAST_SHARE = 0.02
+LONGEST = 64
 UNDETERMINED = "und"
 
 
 def letters(word: str) -> str:
-    return "".join(c for c in word.lower()[:64] if c.isalpha()) if not word.isalpha() or len(word) > 64 else word.lower()
+    return word.lower() if word.isalpha() else "".join(c for c in word.lower() if c.isalpha())
+
+
+def split(text: str) -> list[str]:
+    """The words of a text; of each run longer than LONGEST without white space, all letters, in consecutive pieces of that length."""
+    ws = text.split()
+    if not ws or max(map(len, ws)) <= LONGEST:
+        return ws
+    out = []
+    for w in ws:
+        if len(w) > LONGEST:
+            w = letters(w)
+            out.extend(w[i : i + LONGEST] for i in range(0, len(w), LONGEST))
+        else:
+            out.append(w)
+    return out
 
 
 def grams(word: str) -> list[str]:
@@ -69,7 +85,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         words: dict[str, Counter] = {}
         for batch in common.pieces(batches, "_text"):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(text.split())
+                words.setdefault(lang, Counter()).update(split(text))
         for lang, counts in words.items():
             n: Counter = Counter()
             for word, k in counts.items():
@@ -140,7 +156,7 @@ class Words:
     def ids(self, text: str) -> np.ndarray:
         number = self.number
         out = []
-        for w in text.split():
+        for w in split(text):
             i = number.get(w)
             if i is None:
                 value = self.model.word(w)
@@ -212,7 +228,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per document: id, held_out, lang_pred (the heaviest language of the selected set, the first by name of equals), score (its proportion), langs and shares (the set).
 
     A text that is null, empty or without letters is ``und`` with score 0; so is every text if no language was learned. A null id is never held out.
-    Repeated rows give repeated results. Words are cut at white space and read up to 64 letters each; texts are read whole.
+    Repeated rows give repeated results. Words are cut at white space, longer ones than 64 also into pieces of up to 64 letters; every letter counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the model was counted on
     kind = docs.schema[id_col].dataType.simpleString()

@@ -91,6 +91,21 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_long_runs_are_read_whole(spark):
+    r = random.Random(6)
+    run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    texts = {"aa": [run("abcdefgh", 700) for _ in range(20)], "bb": [run("stuvwxyz", 700) for _ in range(20)]}
+    data = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    new = [(100, run("abcdefgh", 64) + run("stuvwxyz", 1920), None), (101, "-7" * 32 + run("stuvwxyz", 30), None), (102, run("abcdefgh", 1280) + run("stuvwxyz", 640), None), (103, "-7" * 500, None)]
+    df = rows(spark, data + new, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df, langid.fit(df, mod=1000, held=-5)).collect()}
+    assert (got[100].lang_pred, got[101].lang_pred, got[102].lang_pred) == ("bb", "bb", "aa")
+    assert got[102].langs == ["aa", "bb"] and got[102].shares == pytest.approx([2 / 3, 1 / 3], abs=0.05)
+    assert (got[103].lang_pred, got[103].score) == ("und", 0)
+    text = "ab" * 500 + " cd " + "1" * 70 + "ef"
+    assert "".join(langid.split(text)) == "ab" * 500 + "cdef" and max(map(len, langid.split(text))) == 64
+
+
 # --- Toxicity and quality ------------------------------------------------------------------------------------------------------
 
 
