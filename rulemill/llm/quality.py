@@ -3,6 +3,7 @@
 Every term owns a sparse ternary index vector. A term's vector is the sum of the index vectors of its neighbours over the whole corpus, plus its own;
 sums are whole numbers, so the result doesn't depend on the order of the rows or the number of tasks. Terms are hashed into a fixed number of buckets, so what is
 sent to the driver has a fixed size, whatever the corpus. A word of letters in usual case stands for itself; any other word (marks, digits, shouting) stands for its shape.
+A run of more than LONGEST characters without white space is cut into parts of letters, digits or marks, and these into pieces about as long as a word, which all count.
 """
 
 from __future__ import annotations
@@ -22,16 +23,32 @@ from . import common
 BUCKETS, DIM, NONZERO = 1 << 13, 48, 2
 MOST_LABELLED = 20_000
 HIDDEN = 32
+LONGEST, PIECE = 64, 4
 THRESHOLD = 0.3
 _USUAL = re.compile(r"[^\W\d_]?[^\W\d_A-Z]*[.,]?\Z")
+_PARTS = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 
 
 def term(word: str) -> int:
     """The bucket of a word."""
     if _USUAL.match(word) and (len(word) < 2 or not word.isupper()):
         return zlib.crc32(word.lower().rstrip(".,").encode()) % (BUCKETS - 1024)
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:200]))
-    return BUCKETS - 1024 + zlib.crc32(shape[:24].encode()) % 1024
+    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
+    return BUCKETS - 1024 + zlib.crc32(shape.encode()) % 1024
+
+
+def split(text: str | None) -> list[str]:
+    """The words of a text, long runs in pieces; no character is left out."""
+    ws = text.split() if text else []
+    if not ws or max(map(len, ws)) <= LONGEST:
+        return ws
+    out = []
+    for w in ws:
+        if len(w) > LONGEST:
+            out.extend(part[i : i + PIECE] for part in _PARTS.findall(w) for i in range(0, len(part), PIECE))
+        else:
+            out.append(w)
+    return out
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +63,7 @@ def _terms(texts: list[str | None], memo: common.Memo) -> tuple[np.ndarray, np.n
     memo.trim()
     parts = []
     for text in texts:
-        ws = text.split() if text else []
+        ws = split(text)
         parts.append(np.fromiter(map(memo.__getitem__, ws), np.int32, len(ws)))
     return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], np.int64)
 

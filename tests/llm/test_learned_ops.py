@@ -173,6 +173,19 @@ def test_contexts_do_not_depend_on_partitions(spark, docs):
     assert (got == want).all()
 
 
+def test_quality_reads_long_runs_whole(spark):
+    r = random.Random(7)
+    run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    text = "。".join(["天地玄黄宇宙洪荒"] * 30) + " ab " + "x1-" * 100
+    assert "".join(quality.split(text)) == text.replace(" ", "") and max(map(len, quality.split(text))) <= 64
+    assert quality.term("aB1-" * 5 + "x" + "!a?" * 8) != quality.term("aB1-" * 5 + "x" + "?!a" * 8)  # the same up to the 24th character of the shape
+    front = "，".join(run("甲乙丙丁", 4) for _ in range(60)) + "，"
+    data = [(i, front + "，".join(run("春夏秋冬" if i % 2 else "东南西北", 4) for _ in range(200))) for i in range(400)]
+    df, lab = rows(spark, data, "doc_id long, text string"), rows(spark, [(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    got = [x for x in quality.score(df, quality.fit(df, lab)).collect() if x.held_out]
+    assert auc([x.score for x in got], [x.doc_id % 2 for x in got]) > 0.95
+
+
 def test_network_gradient_fits():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 5))
