@@ -61,10 +61,14 @@ def _unit(values: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _doubles(vec_col: str):
+    """The vector as doubles, -0.0 as 0.0: grouping takes them as equal, but their text differs."""
+    return F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0))
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Ids and vectors (doubles) that can link: no null, no null or non-finite component, not zero, a non-null id, and the commonest dimension (the smallest of equals)."""
-    v = F.col(vec_col).cast("array<double>")
-    good = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(
+    good = vectors.select(F.col(id_col).alias("id"), _doubles(vec_col).alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     common_size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -83,7 +87,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     kind = vectors.schema[id_col].dataType.simpleString()
     sample = [r.v for r in common.bounded_sample(good, "id", most_fitted).select("v").collect()]
     classes = common.stored(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    own = vectors.select(F.col(id_col).alias("id"), _doubles(vec_col).alias("v"))
     if not sample:
         return own.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     model = spark.sparkContext.broadcast(learn(_unit(sample)))  # a fixed size: dimension x 64

@@ -141,3 +141,8 @@ def test_vector_edges(spark):
     assert out == sorted([(None, 0, None, True), (4, 2, 2, False), (2, 2, 2, True), (2, 2, 2, True)], key=str)
     assert ann.near_vectors(df.limit(0)).count() == 0
     assert [tuple(x) for x in ann.near_vectors(rows(spark, [(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
+
+
+def test_negative_zeros_link(spark):
+    df = rows(spark, [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [1.0, -0.0]), (4, [-0.0, 1.0]), (5, [-0.0, -0.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ann.near_vectors(df).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
