@@ -1,14 +1,16 @@
-"""Interpolated modified Kneser-Ney model of word pairs: counted in Spark, stored as sorted hash arrays, memory-mapped for perplexity.
+"""Interpolated modified Kneser-Ney model of order two or three: counted in Spark, stored as sorted hash arrays, memory-mapped for perplexity.
 
-Three passes over the texts, each of which adds up in its tasks with numpy and shuffles packed, sorted arrays, one for each task and shard:
+Three passes over the texts, four at order three, each of which adds up in its tasks with numpy and shuffles packed, sorted arrays, one for each task and shard:
 
 1. words: the 64-bit hashes of all training words with their counts, in shards by the leading bits of the hash. A word's id is its rank among all hashes.
 2. pairs: ids of neighbouring words as one number, with counts, in shards by the first word (by both where the first is very frequent), and from
    them how many followers of each count a word has, and how many words precede it, in shards by id.
-3. scores: each worker maps the arrays from the shared folder and looks up the distinct words and pairs of a batch by binary search.
+3. triples (order three): the number of their first two words' pair and the last word's id as one number, in the shard of that pair. From them, how many followers of each
+   count a pair has, and how many words precede it, which is the count that the pairs then go by (their own where they start with the begin).
+4. scores: each worker maps the arrays from the shared folder and looks up the distinct words, pairs and triples of a batch by binary search.
 
 All arrays are files in the shared folder, which every machine mounts. Each attempt of a task writes files of its own, and only those named by the
-successful attempts are used. The model is of order two: on these texts seven in ten trigrams occur once, and arrays for them would pass the disk budget (see the README).
+successful attempts are used.
 """
 
 from __future__ import annotations
@@ -107,6 +109,29 @@ def _map(folder: str, name: str, kind) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
+def _save_small(folder: str, array: np.ndarray) -> str:
+    """Counts as single bytes; those of 255 or more in a second file with their places."""
+    name = _save(folder, np.minimum(array, 255).astype(np.uint8))
+    at = np.flatnonzero(array >= 255)
+    if len(at):
+        os.replace(f"{folder}/{_save(folder, np.concatenate([at, array[at]]).astype(np.int64))}", f"{folder}/{name}.large")
+    return name
+
+
+class _Small:
+    """Counts saved by ``_save_small``, mapped."""
+
+    def __init__(self, folder: str, name: str):
+        self.bytes = _map(folder, name, np.uint8)
+        self.places, self.values = _map(folder, f"{name}.large", np.int64).reshape(2, -1) if os.path.exists(f"{folder}/{name}.large") else np.zeros((2, 0), np.int64)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.bytes[at].astype(np.int64)
+        large = out == 255
+        out[large] = self.values[np.searchsorted(self.places, at[large])]
+        return out
+
+
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from the numbers of items counted once to four times; plain defaults where one of them is missing."""
     if min(n) <= 0:
@@ -128,6 +153,18 @@ class Model:
     single_discounts: tuple = (0.5, 0.75, 0.9)
     single_kinds: tuple = (0, 0, 0)  # words preceded by one, two, more words
     pair_types: int = 0
+    order: int = 2
+    # Of order three alone, by shard of pairs: first number of a pair, triples with counts, files of a pair's followers counted once, twice, more often, and of its adjusted count.
+    pair_starts: list[int] = field(default_factory=list)
+    triples: list[tuple[str, str]] = field(default_factory=list)
+    kinds: list[tuple[str, str, str]] = field(default_factory=list)
+    adjusted: list[str] = field(default_factory=list)
+    triple_discounts: tuple = (0.5, 0.75, 0.9)
+
+    @property
+    def bits(self) -> int:
+        """Bits of a word's id in the number of a triple, which is its pair's number and the last word's id."""
+        return (self.n_words + FIRST).bit_length()
 
     @property
     def distinct(self) -> int:
@@ -144,8 +181,12 @@ class Arrays:
         self.offsets = np.concatenate(([0], np.cumsum([n for _, _, n in m.vocab]))).astype(np.int64) + FIRST
         self.bits = max(0, (len(m.vocab) - 1).bit_length())
         self.pairs = [(_map(m.folder, k, np.uint64), _map(m.folder, c, np.uint32)) for k, c in m.pairs]
-        self.ids = [_map(m.folder, f, np.uint32).reshape(-1, 4) for f, _, _ in m.ids]
+        self.ids = [_map(m.folder, f, np.uint32 if m.order == 2 else np.int64).reshape(-1, 4 if m.order == 2 else 5) for f, _, _ in m.ids]
         self.id_starts = np.array([s for _, s, _ in m.ids], np.int64)
+        self.pair_starts = np.array(m.pair_starts, np.int64)
+        self.triples = [(_map(m.folder, k, np.uint64), _Small(m.folder, c)) for k, c in m.triples]
+        self.kinds = [[_Small(m.folder, f) for f in fs] for fs in m.kinds]
+        self.adjusted = [_Small(m.folder, f) for f in m.adjusted]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
@@ -178,9 +219,42 @@ class Arrays:
                 out[i[ok]] = ns[at[ok]]
         return out
 
+    def pair_numbers(self, pairs: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Numbers of sorted distinct pairs among all, shard by shard; -1 for unknown ones."""
+        out = np.full(len(pairs), -1, np.int64)
+        for s, i in _by_shard(shard_of(pairs, hot, len(self.pairs)), len(self.pairs)):
+            keys = self.pairs[s][0]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, pairs[i]), len(keys) - 1)
+                ok = keys[at] == pairs[i]
+                out[i[ok]] = at[ok] + self.pair_starts[s]
+        return out
+
+    def of_pairs(self, numbers: np.ndarray, read) -> np.ndarray:
+        """``read(shard, places)`` for numbers of known pairs."""
+        out = np.zeros(len(numbers), np.int64)
+        for s, i in _by_shard(self.pair_shard(numbers), len(self.pairs)):
+            out[i] = read(s, numbers[i] - self.pair_starts[s])
+        return out
+
+    def pair_shard(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pair_starts, numbers, side="right") - 1
+
+    def triple_counts(self, pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Counts of triples, given as numbers of known pairs and ids of known words."""
+        out = np.zeros(len(pairs), np.int64)
+        wanted = pairs.astype(np.uint64) << np.uint64(self.m.bits) | words.astype(np.uint64)
+        for s, i in _by_shard(self.pair_shard(pairs), len(self.pairs)):
+            keys, ns = self.triples[s]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted[i]), len(keys) - 1)
+                ok = keys[at] == wanted[i]
+                out[i[ok]] = ns[at[ok]]
+        return out
+
     def followers(self, ids: np.ndarray) -> np.ndarray:
-        """Four numbers for each of the sorted ids: followers seen once, twice, more often, and the number of distinct predecessors."""
-        out = np.zeros((len(ids), 4), np.int64)
+        """Numbers for each of the sorted ids: followers seen once, twice, more often, distinct predecessors; at order three these are of adjusted counts, whose sum comes last."""
+        out = np.zeros((len(ids), 4 if self.m.order == 2 else 5), np.int64)
         edges = np.searchsorted(ids, [*self.id_starts, 1 << 62])
         for s, rows in enumerate(self.ids):
             a, b = edges[s], edges[s + 1]
@@ -200,11 +274,18 @@ def shard_of(pairs: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(key + np.uint64(1)) >> np.uint64(33)).astype(np.int64) % shards
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield int(s), order[edges[s] : edges[s + 1]]
+
+
 _OPEN: dict[str, Arrays] = {}
 
 
 def arrays(m: Model) -> Arrays:
-    if m.folder not in _OPEN or len(_OPEN[m.folder].pairs) != len(m.pairs) or len(_OPEN[m.folder].ids) != len(m.ids):
+    if m.folder not in _OPEN or len(_OPEN[m.folder].pairs) != len(m.pairs) or len(_OPEN[m.folder].ids) != len(m.ids) or len(_OPEN[m.folder].pair_starts) != len(m.pair_starts):
         _OPEN.clear()
         _OPEN[m.folder] = Arrays(m)
     return _OPEN[m.folder]
@@ -227,8 +308,10 @@ def sequence(a: Arrays, texts: list[str | None], memo: common.Memo):
     return seq, cnt, starts, n
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all of docs. An empty table gives a model that knows no word."""
+def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Count all of docs, at order two or three. An empty table gives a model that knows no word."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("_text"))
     uri = common.shared_path(spark, "lm")
@@ -266,7 +349,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     n_words = sum(v[2] for v in vocab)
     if n_words + FIRST >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
-    model = Model(folder, vocab, n_words, sum(r.tokens for r in got) + n_docs, n_docs)
+    model = Model(folder, vocab, n_words, sum(r.tokens for r in got) + n_docs, n_docs, order=order)
     if not n_docs:
         return model
     first = spark.sparkContext.broadcast(model)  # names of files and a few numbers for each shard
@@ -285,25 +368,32 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         k, c = sums.result()
         yield from _deal(k, c, shard_of(k, _hot_first(a, k), parts), parts, 0)
 
-    def store_pairs(key, frame):
-        import pandas as pd
-
-        k, c = _merge(frame)
-        rows = [{"kind": 0, "range": key[0], "ids": _save(folder, k), "values": _save(folder, c.astype(np.uint32)), "stats": [len(k), *(int((c == i).sum()) for i in (1, 2, 3, 4))], "a": None, "b": None}]
+    def profile(k, c):
+        """For the words of sorted pairs with counts: rows of followers by count, and of predecessors, by range of ids."""
+        rows = []
         one = (k >> np.uint64(32)).astype(np.int64)
         two = (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
         heads = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1]))) if len(one) else np.zeros(0, np.int64)
         firsts = one[heads]
-        kinds = [np.add.reduceat((x).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (c == 1, c == 2, c >= 3)]
+        kinds = [np.add.reduceat((x).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64) for x in (c == 1, c == 2, c >= 3, c)]
         seconds, before = np.unique(two, return_counts=True)
         for r in range(ranges):
             lo, hi = r * width, (r + 1) * width
             p, q = np.searchsorted(firsts, [lo, hi])
             s, t = np.searchsorted(seconds, [lo, hi])
             if p < q or s < t:
-                x = np.stack([firsts[p:q] - lo, *(v[p:q] for v in kinds)]).astype(np.uint32)
-                y = np.stack([seconds[s:t] - lo, before[s:t]]).astype(np.uint32)
+                x = np.stack([firsts[p:q] - lo, *(v[p:q] for v in kinds)]).astype(np.int64)
+                y = np.stack([seconds[s:t] - lo, before[s:t]]).astype(np.int64)
                 rows.append({"kind": 1, "range": r, "ids": None, "values": None, "stats": None, "a": x.tobytes(), "b": y.tobytes()})
+        return rows
+
+    def store_pairs(key, frame):
+        import pandas as pd
+
+        k, c = _merge(frame)
+        rows = [{"kind": 0, "range": key[0], "ids": _save(folder, k), "values": _save(folder, c.astype(np.uint32)), "stats": [len(k), *(int((c == i).sum()) for i in (1, 2, 3, 4))], "a": None, "b": None}]
+        if order == 2:
+            rows += profile(k, c)
         return pd.DataFrame(rows)
 
     pairs = common.stored(texts.mapInArrow(count_pairs, schema).groupBy("shard").applyInPandas(store_pairs, "kind int, range int, ids string, values string, stats array<long>, a binary, b binary"), "pairs")
@@ -317,14 +407,16 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         import pandas as pd
 
         lo = key[0] * width
-        rows = np.zeros((min(width, n_words + FIRST - lo), 4), np.int64)
+        rows = np.zeros((min(width, n_words + FIRST - lo), 5), np.int64)
         for a, b in zip(frame.a, frame.b, strict=True):
-            x, y = np.frombuffer(a, np.uint32).reshape(4, -1), np.frombuffer(b, np.uint32).reshape(2, -1)
-            np.add.at(rows, x[0], x[1:].T.astype(np.int64) @ np.eye(3, 4, dtype=np.int64))
+            x, y = np.frombuffer(a, np.int64).reshape(5, -1), np.frombuffer(b, np.int64).reshape(2, -1)
+            np.add.at(rows, x[0], x[1:].T[:, [0, 1, 2, 3, 3]] * np.array([1, 1, 1, 0, 1]))
             np.add.at(rows[:, 3], y[0], y[1])
         c = rows[:, 3]
-        return pd.DataFrame({"range": [key[0]], "file": [_save(folder, rows.astype(np.uint32))], "n": [len(rows)], "stats": [[*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum())]]})
+        return pd.DataFrame({"range": [key[0]], "file": [_save(folder, rows[:, :4].astype(np.uint32) if order == 2 else rows)], "n": [len(rows)], "stats": [[*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum())]]})
 
+    if order == 3:
+        pairs = _fit_triples(model, texts, [int(files[s].stats[0]) if s in files else 0 for s in range(parts)], profile)
     ids = common.stored(pairs.where("kind = 1").select("range", "a", "b").groupBy("range").applyInPandas(store_ids, "range int, file string, n long, stats array<long>"), "ids").collect()
     model.ids = [(r.file, r.range * width, r.n) for r in sorted(ids, key=lambda r: r.range)]
     singles = np.array([r.stats for r in ids]).sum(0)
@@ -332,6 +424,72 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     return model
 
 
+def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> DataFrame:
+    """Count triples in the shard of their first two words; then how many words precede each pair, which is its adjusted count (its own where it starts with the begin).
+
+    Returns the profiles of the adjusted pairs. ``sizes`` are the numbers of pairs by shard.
+    """
+    spark, folder, parts = texts.sparkSession, model.folder, len(sizes)
+    model.pair_starts = [int(x) for x in np.concatenate(([0], np.cumsum(sizes)[:-1]))]
+    if sum(sizes).bit_length() + model.bits > 64:
+        raise ValueError("too many pairs and words for 64-bit numbers of triples")
+    shared, bits = spark.sparkContext.broadcast(model), np.uint64(model.bits)
+    schema = "shard int, keys binary, counts binary, docs long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, memo, sums = arrays(shared.value), common.Memo(_hash), _Sums()
+        for batch in common.pieces(batches, "_text", 8 << 20):
+            seq, _, starts, n = sequence(a, batch.column(0).to_pylist(), memo)
+            keep = np.ones(len(seq), bool)
+            keep[starts + n] = keep[starts + n + 1] = False
+            at = np.flatnonzero(keep)
+            u, back = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64), return_inverse=True)
+            first = a.pair_numbers(u, _hot_first(a, u))[back].astype(np.uint64)
+            sums.add(*np.unique(first << bits | seq[at + 2].astype(np.uint64), return_counts=True))
+        k, c = sums.result()
+        yield from _deal(k, c, a.pair_shard((k >> bits).astype(np.int64)), parts, 0)
+
+    def store(key, frame):
+        import pandas as pd
+
+        a, s = arrays(shared.value), key[0]
+        k, c = _merge(frame)
+        pair = (k >> bits).astype(np.int64) - a.pair_starts[s]
+        kinds = [_save_small(folder, np.bincount(pair[x], minlength=sizes[s])) for x in (c == 1, c == 2, c >= 3)]
+        rows = [{"kind": 0, "shard": s, "files": [_save(folder, k), _save_small(folder, c), *kinds], "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "a": None, "b": None}]
+        ends = a.pairs[s][0][pair] << np.uint64(32) | k & np.uint64((1 << int(bits)) - 1)
+        u, n = np.unique(ends, return_counts=True)
+        numbers = a.pair_numbers(u, _hot_first(a, u))
+        for t, i in _by_shard(a.pair_shard(numbers), parts):
+            rows.append({"kind": 1, "shard": t, "files": None, "stats": None, "a": (numbers[i] - a.pair_starts[t]).astype(np.uint32).tobytes(), "b": n[i].astype(np.uint32).tobytes()})
+        return pd.DataFrame(rows)
+
+    def adjust(key, frame):
+        import pandas as pd
+
+        a, s = arrays(shared.value), key[0]
+        k, own = a.pairs[s]
+        c = np.zeros(len(k), np.int64)
+        for x, y in zip(frame.a, frame.b, strict=True):
+            c[np.frombuffer(x, np.uint32)] += np.frombuffer(y, np.uint32)
+        c = np.where(k >> np.uint64(32) == BEGIN, own, c).astype(np.int64)
+        return pd.DataFrame([{"kind": 0, "range": s, "ids": _save_small(folder, c), "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "a": None, "b": None}, *({x: r[x] for x in ("kind", "range", "ids", "stats", "a", "b")} for r in profile(np.asarray(k), c))])
+
+    triples = common.stored(texts.mapInArrow(count, schema).groupBy("shard").applyInPandas(store, "kind int, shard int, files array<string>, stats array<long>, a binary, b binary"), "triples")
+    files = {r.shard: r for r in triples.where("kind = 0").select("shard", "files", "stats").collect()}
+    none = _save(folder, np.zeros(0, np.uint64))
+    zeros = {n: _save_small(folder, np.zeros(n, np.int64)) for n in {sizes[s] for s in range(parts) if s not in files}}
+    model.triples = [tuple(files[s].files[:2]) if s in files else (none, none) for s in range(parts)]
+    model.kinds = [tuple(files[s].files[2:]) if s in files else (zeros[sizes[s]],) * 3 for s in range(parts)]
+    model.triple_discounts = _discounts([int(x) for x in np.array([[0] * 4, *(r.stats for r in files.values())]).sum(0)])
+    every = spark.createDataFrame([(s, b"", b"") for s in range(parts)], "shard int, a binary, b binary")
+    out = common.stored(triples.where("kind = 1").select("shard", "a", "b").unionByName(every).groupBy("shard").applyInPandas(adjust, "kind int, range int, ids string, stats array<long>, a binary, b binary"), "adjusted")
+    done = {r.range: r for r in out.where("kind = 0").select("range", "ids", "stats").collect()}
+    model.adjusted = [done[s].ids for s in range(parts)]
+    model.pair_discounts = _discounts([int(x) for x in np.array([r.stats for r in done.values()]).sum(0)])
+    return out
+
+
 def _hot_first(a: Arrays, pairs: np.ndarray) -> np.ndarray:
     """Whether the first word of each sorted pair is very frequent; the begin always counts as such."""
     one = (pairs >> np.uint64(32)).astype(np.int64)
@@ -375,15 +533,42 @@ def probabilities(a: Arrays, one: np.ndarray, two: np.ndarray, c_one: np.ndarray
     keys = np.where(known, one, 0).astype(np.uint64) << np.uint64(32) | np.where(known, two, 0).astype(np.uint64)
     hot = a.hot(c_one) | (one == BEGIN)
     c = np.zeros(len(one), np.int64)
-    c[known] = a.pair_counts(keys[known], hot[known])
     v, back = np.unique(one, return_inverse=True)
-    kinds = np.where((v >= 0)[:, None], a.followers(np.maximum(v, 0))[:, :3], 0)[back]
-    spare = kinds @ d[1:]
+    follow = np.where((v >= 0)[:, None], a.followers(np.maximum(v, 0)), 0)[back]
+    if m.order == 2:
+        c[known] = a.pair_counts(keys[known], hot[known])
+    else:
+        c_one = follow[:, 4]
+        if m.adjusted:
+            at = np.full(len(one), -1, np.int64)
+            at[known] = a.pair_numbers(keys[known], hot[known])
+            c[at >= 0] = a.of_pairs(at[at >= 0], lambda s, i: a.adjusted[s][i])
+    spare = follow[:, :3] @ d[1:]
     with np.errstate(divide="ignore", invalid="ignore"):
         p = (np.maximum(c - d[np.minimum(c, 3)], 0) + spare * lower) / c_one
     return np.where((one >= 0) & (c_one > 0), p, lower)
 
 
+def _with_triples(a: Arrays, p: np.ndarray, one: np.ndarray, two: np.ndarray, c_one: np.ndarray, back: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p(third | first, second) of distinct neighbouring pairs, and which of them each token has. The pairs of a text's tokens come one after the other in ``back``; a first token has its pair alone."""
+    known = (one >= 0) & (two >= 0)
+    number = np.full(len(one), -1, np.int64)
+    number[known] = a.pair_numbers(one[known].astype(np.uint64) << np.uint64(32) | two[known].astype(np.uint64), (a.hot(c_one) | (one == BEGIN))[known])
+    before = np.concatenate(([-1], back[:-1]))
+    before[begins] = -1
+    u, out = np.unique((before + 1).astype(np.uint64) << np.uint64(32) | back.astype(np.uint64), return_inverse=True)
+    pair, last = (u >> np.uint64(32)).astype(np.int64) - 1, (u & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    result = p[last]
+    i = np.flatnonzero((pair >= 0) & (number[pair] >= 0))
+    context, word = number[pair[i]], two[last[i]]
+    d = np.array([0.0, *a.m.triple_discounts])
+    c = np.zeros(len(i), np.int64)
+    c[word >= 0] = a.triple_counts(context[word >= 0], word[word >= 0])
+    spare = sum(d[k + 1] * a.of_pairs(context, lambda s, x, k=k: a.kinds[s][k][x]) for k in range(3))
+    result[i] = (np.maximum(c - d[np.minimum(c, 3)], 0) + spare * result[i]) / a.of_pairs(context, lambda s, x: a.pairs[s][1][x])
+    return result, out
+
+
 def score_texts(a: Arrays, texts: list[str | None], memo: common.Memo) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text."""
     m = a.m
@@ -396,6 +581,8 @@ def score_texts(a: Arrays, texts: list[str | None], memo: common.Memo) -> tuple[
     u, first, back = np.unique(keys, return_index=True, return_inverse=True)
     p = probabilities(a, one[first], two[first], cnt[at - 1][first])
     begins = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
+    if m.order == 3 and m.triples:
+        p, back = _with_triples(a, p, one[first], two[first], cnt[at - 1][first], back, begins)
     total = lambda x: np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
     base = np.log10((c_two + 1) / (m.n_tokens + m.distinct + 1))
     return n + 1, total((c_two > 0).astype(np.int64)), total(base), total(np.log10(p)[back])
@@ -416,6 +603,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("_id").alias(id_col), (common.crc_mod("_id", mod) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, order: int = 2) -> DataFrame:
     """Learn from the documents outside the held-out split and score all."""
-    return score(docs, fit(docs.where(common.crc_mod(id_col, mod) != held), text_col), id_col, text_col, mod, held)
+    return score(docs, fit(docs.where(common.crc_mod(id_col, mod) != held), text_col, order), id_col, text_col, mod, held)

@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.fit_and_score(_read(spark, sf_dir, "documents"))
+    return lm.fit_and_score(_read(spark, sf_dir, "documents"), order=3)
 
 
 def op5_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,59 @@ def test_small_shards_and_hot_contexts_agree(spark, docs, monkeypatch):
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
 
 
+def brute_lm_three(train, texts):
+    """Kneser-Ney scores of order three with dictionaries."""
+    words = lambda t: (t or "").encode().translate(common.LOWER).split()
+    three, raw = Counter(), Counter()
+    for t in train:
+        ws = ["<s>", *words(t), "</s>"]
+        raw.update(zip(ws, ws[1:], strict=False))
+        three.update(zip(ws, ws[1:], ws[2:], strict=False))
+    two, one = Counter(), Counter(b for _, b in raw)
+    for pair, k in raw.items():
+        if pair[0] == "<s>":
+            two[pair] = k
+    two.update((b, c) for _, b, c in three)
+    ds = [[0, *lm._discounts([sum(k == i for k in n.values()) for i in (1, 2, 3, 4)])] for n in (one, two, three)]
+    after2, after3, total = defaultdict(Counter), defaultdict(Counter), Counter()
+    for (a, _), k in two.items():
+        after2[a][min(k, 3)] += 1
+        total[a] += k
+    for (a, b, _), k in three.items():
+        after3[a, b][min(k, 3)] += 1
+    v, spare = len({w for t in train for w in words(t)}) + 1, sum(ds[0][min(k, 3)] for k in one.values())
+
+    def p(a, b, c):
+        low = (max(one[c] - ds[0][min(one[c], 3)], 0) + spare / (v + 1)) / len(raw)
+        if total[b]:
+            low = (max(two[b, c] - ds[1][min(two[b, c], 3)], 0) + sum(ds[1][i] * m for i, m in after2[b].items()) * low) / total[b]
+        if a is None or not raw[a, b]:
+            return low
+        k = three[a, b, c]
+        return (max(k - ds[2][min(k, 3)], 0) + sum(ds[2][i] * m for i, m in after3[a, b].items()) * low) / raw[a, b]
+
+    return [sum(math.log10(p(*x)) for x in zip([None, "<s>", *words(t)], ["<s>", *words(t)], [*words(t), "</s>"], strict=False)) for t in texts], p, one
+
+
+def test_order_three_equals_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choice(vocab[: r.randint(2, 40)]) for _ in range(r.randint(0, 50))) for _ in range(120)] + [None, "", "NEW unseen W1 w1", "é É w2 w3", "w1 " * 3000]
+    df = rows(spark, list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want, p, one = brute_lm_three([t for d, t in enumerate(texts) if remainder(d, 7) != 2], texts)
+    for context in (("<s>", b"w1"), (None, "<s>"), (b"w1", b"w2"), (b"w1", b"unseen")):
+        assert sum(p(*context, w) for w in one) + p(*context, b"unknown") == pytest.approx(1)
+    got = {x.doc_id: x.score for x in lm.fit_and_score(df, order=3).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(lm, "PAIRS_PER_SHARD", 300)
+    monkeypatch.setattr(lm, "HOT_SHARE", 20)
+    again = {x.doc_id: x.score for x in lm.fit_and_score(df, order=3).collect()}
+    assert [again[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+    assert math.isfinite(lm.score(df, lm.fit(df.limit(0), order=3)).first().score)
+    with pytest.raises(ValueError):
+        lm.fit(df, order=4)
+
+
 def test_untrained_model(spark):
     df = rows(spark, [(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(df, lm.fit(df.limit(0))).collect()}
