@@ -364,7 +364,7 @@ def _(spark, sf_dir):
     return diagnose.conflicts(diagnose.rule_predicates(spark, compile_rules(_SET)), different_priority=True).select("rule_1", "rule_2", "overlap", "severity")
 
 
-# Rules as data at scale: every customer's shopping profile is a rule-like predicate set, and conflicts are found by the same join.
+# Rules as data at scale: what each supplier sold in lines of 45 pieces or more (not all lines, here and in the SQL) is a rule-like predicate set, and conflicts are found by the same join.
 @query(
     "conflicts_of_profiles",
     """WITH p AS (SELECT DISTINCT 'S' || l_suppkey AS rule_code, l_partkey % 40 AS predicate_id FROM lineitem WHERE l_quantity >= 45), n AS (SELECT rule_code, predicate_id, count(*) OVER (PARTITION BY rule_code) AS n FROM p),
