@@ -3,18 +3,20 @@
 A document is its set of word shingles, a set is embedded as minwise tokens (one value for each of 64 hash functions), and equal sets are one
 class from the start. In each of several independent trees, a node holds the classes that agree on the tokens chosen on
 its path. A node of few classes is compared exhaustively; a larger one is branched by a further chosen token, or two, so that
-similar sets stay together in about one child each while unlike ones part. Every comparison is confirmed on the full sets.
+similar sets stay together in more than one child each while unlike ones part. Every comparison is confirmed on the full sets.
 
-Only links between classes that aren't connected yet can change a component. So each node, at any depth, first yields the pairs of its smallest
-class with the others; the links confirmed among these connect most groups, however large, with work in
-proportion to their size. Then all pairs of a small node, and of a large one at the last depth, that still lie in different components are compared.
-Before a comparison, pairs that cannot or almost surely do not link are left out: by the sizes of their sets, and by one-bit sketches of their minwise tokens.
+Only links between classes that aren't connected yet can change a component. So each node first yields the pairs of its smallest
+class with the others; the links confirmed among these at the roots connect most groups, however large, with work in
+proportion to their size. From then on a node whose classes all lie in one component is dropped: no pair of it can change anything. A node in which few classes lie
+outside the largest component is compared at once, these against all, and a node of the last depth likewise, in blocks; only the rest is branched on.
+Nodes of equal classes are compared once. Before a comparison, pairs that cannot or almost surely do not link are left out: by the sizes of their sets, and by one-bit sketches of their minwise tokens.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ TOKENS = 64
 TREES = 10
 SMALL_NODE = 16
 DEPTH = 6
+#: Children of a pair at the threshold below the roots, on average; at the roots it is one.
+SURPLUS = 1.2
 #: Sketch bits that may differ. At similarity 0.8 they are 6.4 on average, with a deviation of 2.4.
 SKETCH_BITS = 19
 MOST_BROADCAST_IDS = 500_000
-LEAF_BLOCK = 2048
+LEAF_BLOCK = 1024
 _MASK = (1 << 64) - 1
 
 
@@ -116,10 +120,11 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def branch(rows: DataFrame, depth: int, trees: int, threshold: float) -> DataFrame:
-    """Child nodes of rows (rep, n, sk, sig and, below the root, tree and node): one for each row, and a second one in part of the nodes, 1 / threshold on average."""
+    """Child nodes of rows (rep, n, sk, comp, sig and, below the root, tree and node): one for each row, and a second one in part of the nodes. Children keep the tokens from the first level on."""
     kind = rows.schema["rep"].dataType.simpleString()
-    share = np.uint64(int(min(1.0, 1 / threshold - 1) * 2**32))
     root = depth == 0
+    share = np.uint64(int(min(1.0, (1.0 if root else SURPLUS) / threshold - 1) * 2**32))
+    kept = ["rep", "n", "sk", "comp", *([] if root else ["sig"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,13 +148,11 @@ def branch(rows: DataFrame, depth: int, trees: int, threshold: float) -> DataFra
                 child = _mix(v ^ _mix(sig[w, token].astype(np.uint64) + (token.astype(np.uint64) << np.uint64(32))))
                 found.append((w, t, child))
             w, t, child = (np.concatenate(x) for x in zip(*found, strict=True))
-            for at in range(0, len(w), 100_000):
-                i = w[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t[at : at + 100_000].astype(np.int32)), pa.array(child[at : at + 100_000].view(np.int64)), get("rep").take(pa.array(i)), get("n").take(pa.array(i)), get("sk").take(pa.array(i))], ["tree", "node", "rep", "n", "sk"]
-                )
+            for at in range(0, len(w), 50_000):
+                i = pa.array(w[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(t[at : at + 50_000].astype(np.int32)), pa.array(child[at : at + 50_000].view(np.int64)), *(get(c).take(i) for c in kept)], ["tree", "node", *kept])
 
-    return rows.mapInArrow(run, f"tree int, node long, rep {kind}, n long, sk long")
+    return rows.mapInArrow(run, f"tree int, node long, rep {kind}, n long, sk long, comp {kind}" + ("" if root else ", sig binary"))
 
 
 def _likely(na, nb, sa, sb, percent: int):
@@ -211,15 +214,16 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaf_links(leaves: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = LEAF_BLOCK) -> DataFrame:
-    """Links (a, b) between different components within large nodes at the last depth: each class outside the node's largest component against all of the node, on full sets.
+    """Links (a, b) between different components within nodes: each class outside the node's largest component against all of the node, on full sets.
 
-    Members and outsiders are dealt into blocks, and each pair of blocks is compared by itself, by counting in lists of the members that hold each shingle. Of the links
-    of a class with one component, one is returned.
+    Of nodes with the same classes one is compared. Members and outsiders are dealt into blocks, and each pair of blocks is compared by itself, by counting in lists of the members that
+    hold each shingle. Of the links of a class with one component, one is returned.
     """
-    sizes = leaves.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("c"))
-    main = main.select("node", F.struct(F.col("top")["comp"].alias("comp"), "comps", F.ceil(F.col("c") / block).cast("int").alias("mb"), F.ceil((F.col("c") - F.col("top")["k"]) / block).cast("int").alias("rb")).alias("main"), "c")
-    mixed = common.stored(common.with_lookup(leaves, "node", main, "c", common.hot_limit(leaves.count())).where("main.comps > 1"), "mixed")
+    sizes = leaves.groupBy("node", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
+    main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("c"), F.sum("h").alias("h")).where("comps > 1")
+    main = main.groupBy("c", "h").agg(F.min(F.struct("node", "top")).alias("m")).select("m.node", F.col("m.top").alias("top"), "c")
+    main = common.stored(main.select("node", F.struct(F.col("top")["comp"].alias("comp"), F.ceil(F.col("c") / block).cast("int").alias("mb"), F.ceil((F.col("c") - F.col("top")["k"]) / block).cast("int").alias("rb")).alias("main"), "c"), "mains")
+    mixed = common.stored(common.with_lookup(leaves, "node", main, "c", common.hot_limit(leaves.count())).where("main IS NOT NULL"), "mixed")
     need = common.stored(mixed.select("rep").distinct().join(classes.select("rep", "fp"), "rep"), "need")
     sets = common.stored(_sets(docs, need, classes, width, id_col, text_col), "leaf-sets")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(f"main.{n}")).cast("int")
@@ -262,56 +266,80 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     """Link documents whose word-shingle sets have 100 * intersection >= percent * union; one row per document.
 
     Returns the id, n_shingles (set size), component_id (the smallest id reachable by links, its own included) and kept (whether that is its own).
-    A null, empty or blank text has an empty set and links with nothing. A row with a null id links with nothing, has a null component_id and is kept. Repeated rows
-    share a component, which all of them head or none. An empty table gives an empty table; further columns are not read. A pair of similarity
-    s meets in a small node of one tree with probability about s for each chosen token, so with ten trees a link is missed with a probability below 10**-6.
+    A null, empty or blank text has an empty set and links with nothing; a very long one is read whole and is one set like others. A row with a null id links with nothing, has a null
+    component_id and is kept. Repeated rows share a component, which all of them head or none. An empty table gives an empty table; further columns, whatever their names, are not read.
+    A pair of similarity s meets in one child with probability s for each token chosen. Where its nodes are small from the root on, ten trees miss a link at the threshold with a probability below 10**-6;
+    where they are large down to the last depth, with about 6 * 10**-5 at 80 percent and 10**-5 at 85, and only if no other path of links connects its ends.
     """
+    share = percent / 100
     described = common.stored(describe(docs, width, id_col, text_col), "described")
     total = described.count()
     full = described.where("fp IS NOT NULL AND id IS NOT NULL")
     classes = common.stored(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig")), "classes")
-    rows = common.stored(branch(classes.select("rep", "n", "sk", "sig"), 0, trees, percent / 100), "nodes")
-    stars, smalls, leaves = [], [], None
-    for level in range(depth):
-        groups = rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "sk")).alias("lead")).where("c > 1")
-        held = rows.count()
-        found = common.stored(common.with_lookup(rows, "node", groups.select("node", "lead", F.col("c").alias("size"), "c"), "c", common.hot_limit(held)).where("size IS NOT NULL"), "grouped")
-        stars.append(found.where("rep <> lead.rep").where(_likely(F.col("n"), F.col("lead.n"), F.col("sk"), F.col("lead.sk"), percent)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")))
-        smalls.append(found.where(F.col("size") <= small).select("node", "rep", "n", "sk"))
-        large = found.where(F.col("size") > small)
-        if large.isEmpty():
-            break
-        if level == depth - 1:
-            leaves = large.select("node", "rep", "n", "sk")
-        else:
-            rows = common.stored(branch(large.select("tree", "node", "rep").join(classes.select("rep", "n", "sk", "sig"), "rep"), level + 1, trees, percent / 100), "nodes")
-    pairs = stars[0]
-    for x in stars[1:]:
-        pairs = pairs.unionByName(x)
-    links = confirm(pairs, docs, classes, width, percent, id_col, text_col)
+    rows = common.stored(branch(classes.select("rep", "n", "sk", "sig", F.col("rep").alias("comp")), 0, trees, share), "nodes")
+    found, stars = _grouped(rows, percent)
+    links = confirm(stars, docs, classes, width, percent, id_col, text_col)
     comps = common.stored(common.components(links), "components")
-
-    def with_comp(members: DataFrame) -> DataFrame:
-        return members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", "sk", F.coalesce("component_id", "rep").alias("comp"))
-
-    members = smalls[0]
-    for x in smalls[1:]:
-        members = members.unionByName(x)
-    more = common.stored(_across(with_comp(members), percent).distinct(), "more")
-    extra = [] if more.isEmpty() else [confirm(more, docs, classes, width, percent, id_col, text_col)]
-    if leaves is not None:
-        extra.append(_leaf_links(common.stored(with_comp(leaves), "leaves"), docs, classes, width, percent, id_col, text_col))
-    extra = [x for x in extra if not x.isEmpty()]
-    for x in extra:
-        links = links.unionByName(x)
-    if extra:
-        comps = common.stored(common.components(links), "components")
+    smalls, leaves, stars = [found.where(F.col("size") <= small).select("node", "rep", "n", "sk")], [], []
+    large = common.stored(_outside(_with_comp(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk"), comps)), "large")
+    for level in range(1, depth + 1):
+        last = level == depth
+        leaves.append((large if last else large.where(F.col("outside") <= small)).select("node", "rep", "n", "sk"))
+        rest = large.where(F.col("outside") > small)
+        if last or rest.isEmpty():
+            break
+        if level == 1:
+            rest = rest.join(classes.select("rep", "sig"), "rep")
+        found, more = _grouped(common.stored(branch(rest.select("tree", "node", "rep", "n", "sk", "comp", "sig"), level, trees, share), "nodes"), percent)
+        stars.append(more)
+        smalls.append(found.where(F.col("size") <= small).select("node", "rep", "n", "sk"))
+        large = common.stored(_outside(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk", "comp", "sig")), "large")
+    if stars:
+        links, comps = _joined(links, comps, [confirm(_union(stars), docs, classes, width, percent, id_col, text_col)])
+    pairs = common.stored(_across(_with_comp(_union(smalls), comps), percent).distinct(), "across")
+    extra = [] if pairs.isEmpty() else [confirm(pairs, docs, classes, width, percent, id_col, text_col)]
+    members = common.stored(_with_comp(_union(leaves), comps), "leaves")
+    if not members.isEmpty():
+        extra.append(_leaf_links(members, docs, classes, width, percent, id_col, text_col))
+    links, comps = _joined(links, comps, extra)
     ids = classes.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = common.with_lookup(described.select("id", "n", "fp"), "fp", ids, "copies", common.hot_limit(total))
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _grouped(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that hold more than one component, with the node's ``size``; and the likely pairs (a, b) of each node's smallest class with those of other components."""
+    groups = rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "sk", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    groups = groups.select("node", "lead", F.col("c").alias("size"), "c")
+    found = common.stored(common.with_lookup(rows, "node", groups, "c", common.hot_limit(rows.count())).where("size IS NOT NULL"), "grouped")
+    others = found.where("comp <> lead.comp").where(_likely(F.col("n"), F.col("lead.n"), F.col("sk"), F.col("lead.sk"), percent))
+    return found, others.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+
+
+def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*rows.columns, F.coalesce("component_id", "rep").alias("comp"))
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one component, with the number of the node's classes outside its largest."""
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg((F.sum("k") - F.max("k")).alias("outside"), F.sum("k").alias("c")).where("outside > 0")
+    return common.with_lookup(rows, "node", sizes, "c", common.hot_limit(rows.count())).where("outside IS NOT NULL")
+
+
+def _joined(links: DataFrame, comps: DataFrame, more: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of ``more``."""
+    more = [x for x in more if not x.isEmpty()]
+    if not more:
+        return links, comps
+    known = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    return _union([links, *more]), common.stored(common.components(_union([known, *more])), "components")
+
+
 def brute_force(docs: list[tuple], width: int, percent: int) -> dict:
     """id -> (n_shingles, component_id), comparing all pairs on word tuples; for tests with distinct ids."""
     sets = {}
