@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .functions import event_view
 from .functions.events import EventView
 from .model import ALL_MATCHES, FIRST_MATCH, MAX_PRIORITY_PER_FAMILY, TOP_K
 from .plans import compile_rules, evaluate, match_arrays
+from .shared import shared_dir
 from .sources import match_json, rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,10 +465,7 @@ _IMPORT = [
 
 
 def _catalog(spark: SparkSession) -> catalog.RuleCatalog:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    import uuid
-
-    c = catalog.RuleCatalog(spark, f"{base}/catalog-{uuid.uuid4().hex}")
+    c = catalog.RuleCatalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
     c.create(rule("TX.A", ("amount", "GREATER_THAN", 7), priority=1, description="kept"))
     return c
 
@@ -512,9 +511,7 @@ def _(spark, sf_dir):
     from .streaming import evaluate_stream
 
     rules = [rule("ERROR_HIGH", ("event_type", "EQUAL_TO", "error"), ("value", "GREATER_THAN", 10), priority=100), rule("CLICK_OR_VIEW", ("event_type", "IS_ANY_OF", ["click", "view"]), priority=50)]
-    import uuid
-
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     found = _out(evaluate_stream(event_view(stream, json={"props": "k long"}), compile_rules(rules)))
@@ -528,12 +525,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Three micro-batches: the rules change before the second; before the third they break, which keeps the second's."""
-    import json
-    import uuid
-
     from .streaming import RuleSource, StreamEvaluator
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/reload-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/reload-{uuid.uuid4().hex}"
     files = [json.dumps([rule("OLD", ("event_type", "EQ", "click"), priority=1)]), json.dumps([rule("NEW", ("event_type", "EQ", "view"), priority=2)]), "[{ broken"]
     run = StreamEvaluator(RuleSource(spark, f"{base}/rules"), lambda df, n: _out(df).write.mode("append").parquet(f"{base}/out"))
     events_ = _read(spark, sf_dir, "events")
