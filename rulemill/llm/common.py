@@ -12,23 +12,17 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import shared_dir
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="rulemill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -72,7 +66,7 @@ def local_path(uri: str) -> str:
 
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the split rule of every contract here. A null id counts as remainder -1."""
-    return F.coalesce(F.crc32(F.col(column).cast("string")) % mod, F.lit(-1))
+    return F.coalesce(F.crc32(quoted(column).cast("string")) % mod, F.lit(-1))
 
 
 def with_lookup(rows: DataFrame, key: str, found: DataFrame, count: str, hot: int) -> DataFrame:
@@ -87,7 +81,7 @@ def with_lookup(rows: DataFrame, key: str, found: DataFrame, count: str, hot: in
     small = found.where(F.col(count) < hot).select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"))
     spread = F.xxhash64(*[c for c in rows.columns]).cast("string")
     marked = rows.join(F.broadcast(big), F.col(key) == F.col("_hk"), "left").withColumn(
-        "_jk", F.when(F.col("_hk").isNotNull(), F.concat(F.lit("h"), spread)).otherwise(F.concat(F.lit("c"), F.col(key).cast("string")))
+        "_jk", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), F.concat(F.lit("h"), spread)).otherwise(F.concat(F.lit("c"), F.col(key).cast("string")))
     )
     joined = marked.join(small.select(F.concat(F.lit("c"), F.col("_ck").cast("string")).alias("_jk"), "_cv"), "_jk", "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col("_hv")[v], F.col("_cv")[v]).alias(v) for v in values])
@@ -140,10 +134,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star passes (Kiveris et al. 2014): each pass rewires every edge towards the smallest
     neighbour, so the graph turns into stars after a number of passes that grows as the logarithm of its size. Both passes only
-    group by vertex with a minimum (a partial aggregate) and join that back, so a vertex with many edges never sits in one task.
+    group by vertex with a minimum (a partial aggregate) and join that back, so a vertex with many edges never sits in one task. Before the first pass each task turns its own edges into stars, which
+    saves most of the passes.
     """
-    spark = edges.sparkSession
-    own = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    own = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    own = stored(own.mapInArrow(_stars, own.schema).distinct(), "edges")
     last = None
     for _ in range(rounds):
         total = own.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -157,6 +152,52 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return own.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots.select("id", F.col("id").alias("component_id")))
 
 
+def _stars(batches: Iterator) -> Iterator:
+    """The edges (u, v) of a task as edges from each vertex to the smallest one that it reaches by them, about a million at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def stars(parts):
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        ids = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        rank = np.empty(len(ids.dictionary), np.int64)
+        order = pc.sort_indices(ids.dictionary).to_numpy()
+        rank[order] = np.arange(len(order))
+        u, v = np.split(rank[ids.indices.to_numpy()], 2)
+        root = connected(np.arange(len(order)), u, v)
+        child = np.flatnonzero(root != np.arange(len(order)))
+        take = lambda at: ids.dictionary.take(pa.array(order[at]))
+        for at in range(0, len(child), 100_000):
+            part = child[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([take(part), take(root[part])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 1_000_000:
+            yield from stars(held)
+            held, n = [], 0
+    yield from stars(held)
+
+
+def connected(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number of each number's component, with the edges (i, j) added to the components that ``root`` names: whole arrays at a time, in about log(numbers) rounds."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Join every larger neighbour of a vertex to its smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -256,31 +297,53 @@ def sorted_groups(batches: Iterator, keys: int) -> Iterator:
         yield joined(held)
 
 
-def scored(docs: DataFrame, probability, id_col: str, text_col: str, mod: int, held: int, threshold: float, keep: list[str] | None) -> DataFrame:
-    """id, the columns named in ``keep``, held_out, score and predicted. ``probability()`` gives, in a worker, a function of a list of texts."""
+def free(name: str, columns: list[str]) -> str:
+    """A column name that differs from all of ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_probability(docs: DataFrame, probability, text_col: str, columns: list[str]) -> DataFrame:
+    """The named columns as _k0, _k1 and so on, and _score. ``probability()`` gives, in a worker, a function of a list of texts."""
     import pyarrow as pa
 
-    kept = [f for f in docs.schema.fields if f.name in (keep or []) and f.name not in (id_col, text_col)]
-    names = [f"_k{i}" for i in range(len(kept))]
-    with_text = text_col in (keep or [])
+    names = [f"_k{i}" for i in range(len(columns))]
+    text = names[columns.index(text_col)] if text_col in columns else "_text"
 
     def run(batches: Iterator) -> Iterator:
         score = probability()
-        for batch in pieces(batches, "_text", 8 << 20):
-            p = pa.array(score(batch.column(1).to_pylist()), pa.float64())
-            columns = [batch.column(0), *([batch.column(1)] if with_text else []), *(batch.column(i + 2) for i in range(len(names))), p]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", *(["_text"] if with_text else []), *names, "_score"])
+        for batch in pieces(batches, text, 8 << 20):
+            p = pa.array(score(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), p], [*names, "_score"])
+
+    source = docs.select(*[quoted(c).alias(n) for c, n in zip(columns, names, strict=True)], *([] if text_col in columns else [quoted(text_col).alias("_text")]))
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in zip(columns, names, strict=True)), T.StructField("_score", T.DoubleType())])
+    return source.mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, probability, id_col: str, text_col: str, mod: int, held: int, threshold: float, keep: list[str] | None) -> DataFrame:
+    """id, the columns named in ``keep``, held_out, score and predicted. A column of ``keep`` that is named like one of these results is left out."""
+    taken = {id_col.lower(), "held_out", "score", "predicted"}
+    columns = [id_col, *(c for c in docs.columns if c in (keep or []) and c.lower() not in taken)]
+    out = with_probability(docs, probability, text_col, columns)
+    kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)]
+    return out.select(*kept, (crc_mod("_k0", mod) == held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
 
-    kind = lambda f: f.dataType.simpleString()
-    schema = ", ".join([f"_id {kind(docs.schema[id_col])}", *(["_text string"] if with_text else []), *(f"{n} {kind(f)}" for n, f in zip(names, kept, strict=True)), "_score double"])
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept, strict=True)])
-    out = source.mapInArrow(run, schema)
-    own = [F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if with_text else []), *[F.col(n).alias(f.name) for n, f in zip(names, kept, strict=True)]]
-    return out.select(*own, (crc_mod("_id", mod) == held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+def passing(docs: DataFrame, probability, text_col: str, test) -> DataFrame:
+    """Rows of docs whose score passes ``test`` (a function of its column), with all columns of docs, whatever their names, and no other."""
+    out = with_probability(docs, probability, text_col, docs.columns).where(test(F.col("_score")))
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
-    """Rows of docs whose id is not in ids (one column). Up to ``most`` ids are broadcast; more are joined by a shuffle. Null ids stay."""
-    ids = ids.select(F.col(ids.columns[0]).alias("_gone")).where("_gone IS NOT NULL").distinct()
-    ids = stored(ids, "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, F.col(id_col) == F.col("_gone"), "left_anti")
+    """Rows of docs whose id is not in ids (one column). Up to ``most`` ids are broadcast; more are joined by a shuffle. Null ids stay. Columns of docs may have any names."""
+    gone = free("_gone", docs.columns)
+    ids = stored(ids.select(F.col(ids.columns[0]).alias(gone)).where(F.col(gone).isNotNull()).distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, quoted(id_col) == F.col(gone), "left_anti")

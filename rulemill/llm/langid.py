@@ -150,7 +150,7 @@ class Words:
         self.used = 1  # row 0: no letters
 
     def reset(self) -> None:
-        if self.used > self.most:
+        if self.used > self.most or len(self.number) > self.most:  # words without letters get no row
             self.__post_init__()
 
     def ids(self, text: str) -> np.ndarray:
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per document: id, held_out, lang_pred (the heaviest language of the selected set, the first by name of equals), score (its proportion), langs and shares (the set).
 
     A text that is null, empty or without letters is ``und`` with score 0; so is every text if no language was learned. A null id is never held out.
-    Repeated rows give repeated results. Words are cut at white space, longer ones than 64 also into pieces of up to 64 letters; every letter counts.
+    Repeated rows give repeated results; an empty table gives an empty table; further columns, whatever their names, are not read. Texts are read whole, however long. Words are cut at white space, longer ones than 64 also into pieces of up to 64 letters; every letter counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that the model was counted on
     kind = docs.schema[id_col].dataType.simpleString()

@@ -206,15 +206,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x[order], y[order], vectors)
 
 
-def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, mod: int = 5, held: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """Score every whole text: id, held_out, score, predicted, and the columns named in ``keep``.
-
-    A null or empty text is pooled to zeros and scored like others. A null id is never held out. Repeated rows give repeated results.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _probability(docs: DataFrame, model: Network):
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
 
     def probability():
         net, memo = shared.value, common.Memo(term)
         return lambda texts: net.probability(pool(texts, net.vectors, memo))
 
-    return common.scored(docs, probability, id_col, text_col, mod, held, threshold, keep)
+    return probability
+
+
+def score(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, mod: int = 5, held: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """Score every whole text, however long: id, held_out, score, predicted, and the columns named in ``keep``, but for those named like a result.
+
+    A null or empty text is pooled to zeros and scored like others. A null id is never held out. Repeated rows give repeated results; an empty table gives an empty table.
+    """
+    return common.scored(docs, _probability(docs, model), id_col, text_col, mod, held, threshold, keep)
+
+
+def good(docs: DataFrame, model: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows that score the threshold or more, with all their columns, whatever the names. Nulls and empty texts are scored like others; repeated rows stay or go together."""
+    return common.passing(docs, _probability(docs, model), text_col, lambda p: p >= threshold)

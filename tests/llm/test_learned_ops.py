@@ -91,6 +91,19 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_words_without_letters_stay_bounded():
+    model, _, _ = mixed_model()
+    words = langid.Words(model, most=50)
+    for k in range(20):
+        langid.infer([" ".join(str(1000 * k + i) for i in range(40))], words)
+    assert len(words.number) <= 90
+
+
+def test_language_clashes(spark):
+    df = rows(spark, [(1, "the cat", "en"), (2, "der hund", "de")], "doc_id long, text string, lang string").selectExpr("*", "1 AS _id", "2 AS _text", "3 AS _lang", "4 AS lang_pred", "5 AS langs", "true AS held_out")
+    assert sorted(r.lang_pred for r in langid.identify(df, langid.fit(df, mod=1000, held=-5)).collect()) == ["de", "en"]
+
+
 def test_long_runs_are_read_whole(spark):
     r = random.Random(6)
     run = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
@@ -126,7 +139,7 @@ def test_quality_held_out(docs, labels):
 
 
 def test_grammar_matches_clauses():
-    g = toxicity.Grammar({"fool": 2.0, "dolt*": 2.0}, np.zeros(toxicity.FEATURES), 0.0)
+    g = toxicity.Grammar({"fool": 2.0, "dolt*": 2.0, "x" * 40: 2.0}, np.zeros(toxicity.FEATURES), 0.0)
     memo = common.Memo(g.read)
     x = lambda text: np.expm1(g.features(text, memo)[:16]).round(6)
     plain, aimed, negated, reported, threat = 0, 1, 2, 4, 9
@@ -137,13 +150,53 @@ def test_grammar_matches_clauses():
     assert x("she said that a man is a fool. fool")[reported] == 1
     assert x("I will kill you")[threat] == 1 and x("kill time")[:16].sum() == 0
     assert x("doltish talk")[plain] == 1 and x("dolt")[:16].sum() == 0
+    assert x("X" * 40)[plain] == 1  # long entries match whole
     assert not g.features(None, memo).any() and not g.features("nice day", memo).any()
 
 
-def test_composed_machine_is_complete():
-    step, out = toxicity.composed()
-    assert step.shape == out.shape and step.min() >= 0 and step.max() < len(step)
-    assert (out[:, [toxicity.OTHER, toxicity.NEGATION, toxicity.REPORT, toxicity.END]] == -1).all()
+def by_hand(symbols, w):
+    """Matches of one clause and their path weights, from the words around each."""
+    out = []
+    matched_target = set()  # places of targets and of matched threats
+    for i, s in enumerate(symbols):
+        near = range(max(0, i - toxicity.REACH), i)
+        targets = [j for j in near if symbols[j] == toxicity.TARGET or j in matched_target]
+        negated = any(symbols[j] == toxicity.NEGATION for j in near)
+        reported = any(x == toxicity.REPORT for x in symbols[:i])
+        threat = s == toxicity.TARGET and any(symbols[j] == toxicity.THREAT for j in near) or s == toxicity.THREAT and any(symbols[j] == toxicity.TARGET for j in near)
+        if s == toxicity.INSULT or threat:
+            bits = negated << 1 | reported << 2 | (1 if threat or targets else 0)
+            weight = (w.threat if threat else w.insult) + w.negated * negated + w.reported * reported + w.aimed * bool(targets)
+            out.append((i, 8 * bool(threat) + bits, weight))
+        if threat:
+            matched_target.add(i)
+    return out
+
+
+def test_composition_equals_the_cascade_and_paths_by_hand():
+    w = toxicity.Weights(0.1, 1.3, 0.7, -1.1, -0.4)
+    machine, cascade = toxicity.composed(w), toxicity.machines(w)
+    r = random.Random(3)
+    for _ in range(3000):
+        symbols = [r.randrange(7) for _ in range(r.randint(1, 25))]
+        got = machine.run([8 * s for s in symbols])
+        codes, total = [8 * s for s in symbols], np.zeros(len(symbols))
+        for m in cascade:
+            step = m.run(codes)
+            codes, total = [c for c, _ in step], total + [v for _, v in step]
+        assert [c for c, _ in got] == codes and [v for _, v in got] == pytest.approx(total)
+        at = 0
+        for clause in " ".join(map(str, symbols)).split(str(toxicity.END)):
+            part = [int(x) for x in clause.split()]
+            want = by_hand(part, w)
+            found = [(i, c - 8 * toxicity.MATCHED_INSULT, v) for i, (c, v) in enumerate(got[at : at + len(part)]) if c >= 8 * toxicity.MATCHED_INSULT]
+            assert [x[:2] for x in found] == [x[:2] for x in want] and [x[2] for x in found] == pytest.approx([x[2] for x in want])
+            at += len(part) + 1
+
+
+def test_no_insult_is_known_beforehand():
+    g = toxicity.Grammar({}, np.zeros(toxicity.FEATURES), 0.0)
+    assert toxicity.INSULT not in set(g.symbols.values())
 
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
@@ -158,6 +211,16 @@ def test_scoring_edges(spark, module, label):
     for other in (lab.limit(0), lab.where(f"{label} = 1")):
         assert all(0 <= r.score <= 1 for r in module.score(df, module.fit(df, other)).collect())
     assert module.score(df.limit(0), module.fit(df.limit(0), lab)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "'a' AS predicted", "true AS held_out", "1 AS _id", "2 AS _k0", "3 AS `odd. name`", "4 AS _text", "5 AS _score", "lang AS score")
+    model = module.fit(clash, lab)
+    got = module.score(clash, model, keep=clash.columns)
+    assert got.columns == ["doc_id", "text", "_id", "_k0", "odd. name", "_text", "_score", "held_out", "score", "predicted"]
+    first = got.where("doc_id = 7").first()
+    assert (first["_id"], first["_k0"], first["odd. name"], first["_text"], first["_score"]) == (1, 2, 3, 4, 5)
+    passing = (module.good if module is quality else module.harmless)(clash, model)
+    assert passing.columns == clash.columns
+    test = (lambda p: p >= 0.3) if module is quality else (lambda p: p < 0.7)
+    assert sorted(map(str, passing.collect())) == sorted(str(r) for r, s in zip(clash.coalesce(1).collect(), module.score(clash.coalesce(1), model).collect(), strict=True) if test(s.score))
 
 
 def test_contexts_do_not_depend_on_partitions(spark, docs):
