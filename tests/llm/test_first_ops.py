@@ -118,8 +118,11 @@ def test_small_blocks_and_shards_agree(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     index = common.stored(decontam.build_index(docs, shard_bytes=5000), "small")
     want = sorted(map(str, decontam.search(index, bench, matches=False).collect()))
-    monkeypatch.setattr(decontam.test_blocks, "__defaults__", ("item_id", "text", 8, 2000))
+    both = sorted(map(str, decontam.search(index, bench, slop=3).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 400)
+    assert decontam.blocks(bench).count() > 1
     assert sorted(map(str, decontam.search(index, bench, matches=False).collect())) == want
+    assert sorted(map(str, decontam.search(index, bench, slop=3).collect())) == both
 
 
 def test_exact_and_near_matches(spark):
@@ -130,6 +133,32 @@ def test_exact_and_near_matches(spark):
     assert {d for d, r in got.items() if r.near} == {1, 2} and not got[2].items
 
 
+def test_near_matches_equal_brute_force(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(n))
+    docs, items = [(i, text(r.randint(0, 80))) for i in range(80)], [(i, text(r.randint(1, 7))) for i in range(30)]
+
+    def near(ws, item, slop):
+        n = len(item) + slop
+        return any(set(item) <= set(ws[k : k + n]) for k in range(max(1, len(ws) - n + 1)))
+
+    want = {d: {i for i, t in items for k in range(max(1, len(t.split()) - 3)) if near(x.split(), t.split()[k : k + 4], 2)} for d, x in docs}
+    exact = {d: sorted((k, str(i), n) for i, t in items for n in [min(4, len(t.split()))] for w in {tuple(t.split()[j : j + n]) for j in range(len(t.split()) - n + 1)} for k in range(len(x.split()) - n + 1) if tuple(x.split()[k : k + n]) == w) for d, x in docs}
+    index = common.stored(decontam.build_index(rows(spark, docs, "doc_id long, text string"), shard_bytes=500), "near")
+    bench = rows(spark, items, "item_id long, text string")
+    for most in (1000, 9):
+        monkeypatch.setattr(decontam, "BLOCK_WINDOWS", most)
+        got = decontam.search(index, bench, window=4, slop=2).collect()
+        assert {g.doc_id: set(g.near) for g in got} == want
+        assert {g.doc_id: sorted((m.position, str(m.item), m.n) for m in g.matches) for g in got} == exact
+
+
+def test_decontamination_clashes(spark):
+    docs = rows(spark, [(1, "one two three"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS _text", "3 AS ids", "4 AS n_words", "5 AS shard")
+    bench = rows(spark, [(7, "one two"), (None, "x")], "item_id long, text string").selectExpr("*", "1 AS _item", "2 AS _text", "3 AS w", "4 AS items")
+    assert sorted((r.doc_id, r.n_items) for r in decontam.decontaminate(docs, bench).collect()) == [(1, 1), (2, 0)]
+
+
 # --- WARC ----------------------------------------------------------------------------------------------------------------------
 
 
