@@ -30,7 +30,7 @@ UNKNOWN_SURFACE = " ⁇ "
 class MergePrefixTable:
     """The tables of one model and the encoder and decoder over them."""
 
-    def __init__(self, model: str, keep: int = 300_000):
+    def __init__(self, model: str, keep: int = 150_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -227,7 +227,7 @@ def default_model() -> str:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encode every text, decode it again and return id, n_tokens, ids_sha256, decoded_sha256, and on demand the ids and the decoded text.
 
-    Ids end with the end id; no start id, no sampling. Null and empty texts give the end id alone. Other columns of docs, whatever
+    Ids end with the end id; no start id, no sampling. Null and empty texts give the end id alone; texts are encoded whole, however long. Other columns of docs, whatever
     their names, are not read; repeated rows are encoded as often as they stand; an empty table gives an empty table. Needs no shuffle.
     ``model`` is a path that exists on every machine.
     """
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model)
-        for batch in common.pieces(batches, "_text", 1 << 24):
+        for batch in common.pieces(batches, "_text", 4 << 20):
             rows = [t.both(x) for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([i.count(" ") + 1 for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in rows]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows])]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
