@@ -7,9 +7,9 @@ similar sets stay together in more than one child each while unlike ones part. E
 
 Only links between classes that aren't connected yet can change a component. So each node first yields the pairs of its smallest
 class with the others; the links confirmed among these at the roots connect most groups, however large, with work in
-proportion to their size. From then on a node whose classes all lie in one component is dropped: no pair of it can change anything. A node in which few classes lie
-outside the largest component is compared at once, these against all, and a node of the last depth likewise, in blocks; only the rest is branched on.
-Nodes of equal classes are compared once. Before a comparison, pairs that cannot or almost surely do not link are left out: by the sizes of their sets, and by one-bit sketches of their minwise tokens.
+proportion to their size. From then on a node whose classes all lie in one component is dropped: no pair of it can change anything. A node is compared at once, in blocks, if few of its classes lie
+outside its largest component, or if it is dense: if its classes are so alike on average that branching would hardly part them. Only the rest is branched on, down to the last depth or until comparing the rest is cheap. Classes that
+were compared in one dense root are a group, whose pairs other nodes need not compare again. Before a comparison, pairs that cannot or almost surely do not link are left out: by the sizes of their sets, and by one-bit sketches of their minwise tokens.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ SMALL_NODE = 16
 DEPTH = 6
 #: Children of a pair at the threshold below the roots, on average; at the roots it is one.
 SURPLUS = 1.2
+#: A node of this average similarity is not branched on.
+DENSE = 0.5
+#: Branching ends where comparing all that is left takes no more comparisons for each class of the input.
+CHEAP = 20
 #: Sketch bits that may differ. At similarity 0.8 they are 6.4 on average, with a deviation of 2.4.
 SKETCH_BITS = 19
 MOST_BROADCAST_IDS = 500_000
@@ -124,7 +128,7 @@ def branch(rows: DataFrame, depth: int, trees: int, threshold: float) -> DataFra
     kind = rows.schema["rep"].dataType.simpleString()
     root = depth == 0
     share = np.uint64(int(min(1.0, (1.0 if root else SURPLUS) / threshold - 1) * 2**32))
-    kept = ["rep", "n", "sk", "comp", *([] if root else ["sig"])]
+    kept = ["rep", "n", "sk", "comp", *([] if root else ["grp", "sig"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +156,7 @@ def branch(rows: DataFrame, depth: int, trees: int, threshold: float) -> DataFra
                 i = pa.array(w[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(t[at : at + 50_000].astype(np.int32)), pa.array(child[at : at + 50_000].view(np.int64)), *(get(c).take(i) for c in kept)], ["tree", "node", *kept])
 
-    return rows.mapInArrow(run, f"tree int, node long, rep {kind}, n long, sk long, comp {kind}" + ("" if root else ", sig binary"))
+    return rows.mapInArrow(run, f"tree int, node long, rep {kind}, n long, sk long, comp {kind}" + ("" if root else ", grp long, sig binary"))
 
 
 def _likely(na, nb, sa, sb, percent: int):
@@ -214,28 +218,26 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaf_links(leaves: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = LEAF_BLOCK) -> DataFrame:
-    """Links (a, b) between different components within nodes: each class outside the node's largest component against all of the node, on full sets.
+    """Links (a, b) between different components within nodes: each class outside the node's largest component, or group compared elsewhere, against all of the node, on full sets.
 
-    Of nodes with the same classes one is compared. Members and outsiders are dealt into blocks, and each pair of blocks is compared by itself, by counting in lists of the members that
+    Members and outsiders are dealt into blocks, and each pair of blocks is compared by itself, by counting in lists of the members that
     hold each shingle. Of the links of a class with one component, one is returned.
     """
-    sizes = leaves.groupBy("node", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("c"), F.sum("h").alias("h")).where("comps > 1")
-    main = main.groupBy("c", "h").agg(F.min(F.struct("node", "top")).alias("m")).select("m.node", F.col("m.top").alias("top"), "c")
-    main = common.stored(main.select("node", F.struct(F.col("top")["comp"].alias("comp"), F.ceil(F.col("c") / block).cast("int").alias("mb"), F.ceil((F.col("c") - F.col("top")["k"]) / block).cast("int").alias("rb")).alias("main"), "c"), "mains")
-    mixed = common.stored(common.with_lookup(leaves, "node", main, "c", common.hot_limit(leaves.count())).where("main IS NOT NULL"), "mixed")
+    main = _mains(leaves).select("node", F.struct("label", F.ceil(F.col("c") / block).cast("int").alias("mb"), F.ceil(F.col("outside") / block).cast("int").alias("rb")).alias("main"), "c")
+    mixed = common.with_lookup(leaves, "node", common.stored(main, "mains"), "c", common.hot_limit(leaves.count())).where("main IS NOT NULL")
+    mixed = common.stored(mixed.withColumn("out", ~_in_main(F.col("main.label"))), "mixed")
     need = common.stored(mixed.select("rep").distinct().join(classes.select("rep", "fp"), "rep"), "need")
     sets = common.stored(_sets(docs, need, classes, width, id_col, text_col), "leaf-sets")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(f"main.{n}")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"main.{n}") - 1))
     members = mixed.select("node", every("rb").alias("rb"), deal("mb").alias("mb"), F.lit(0).alias("role"), "rep", "comp")
-    outside = mixed.where("comp <> main.comp").select("node", deal("rb").alias("rb"), every("mb").alias("mb"), F.lit(1).alias("role"), "rep", "comp")
+    outside = mixed.where("out").select("node", deal("rb").alias("rb"), every("mb").alias("mb"), F.lit(1).alias("role"), "rep", "comp")
     rows = members.unionByName(outside).join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("node", "rb", "mb", "role", "rep", "comp", "set")
     kind = classes.schema["rep"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in common.sorted_groups(batches, 3):
-            role, comp = group.column(3).to_numpy(zero_copy_only=False), np.array(group.column(5).to_pylist())
+            role, comp = group.column(3).to_numpy(zero_copy_only=False), group.column(5).dictionary_encode().indices.to_numpy(zero_copy_only=False)
             held = [np.frombuffer(x, np.uint64) for x in group.column(6).to_pylist()]
             inside, outer = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
             if not len(inside) or not len(outer):
@@ -276,31 +278,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     total = described.count()
     full = described.where("fp IS NOT NULL AND id IS NOT NULL")
     classes = common.stored(full.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig")), "classes")
+    n_classes = classes.count()
     rows = common.stored(branch(classes.select("rep", "n", "sk", "sig", F.col("rep").alias("comp")), 0, trees, share), "nodes")
     found, stars = _grouped(rows, percent)
     links = confirm(stars, docs, classes, width, percent, id_col, text_col)
     comps = common.stored(common.components(links), "components")
     smalls, leaves, stars = [found.where(F.col("size") <= small).select("node", "rep", "n", "sk")], [], []
-    large = common.stored(_outside(_with_comp(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk"), comps)), "large")
+    large = _with_comp(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk"), comps)
+    large = common.stored(_settled(common.stored(large, "large")), "judged")
     for level in range(1, depth + 1):
-        last = level == depth
-        leaves.append((large if last else large.where(F.col("outside") <= small)).select("node", "rep", "n", "sk"))
-        rest = large.where(F.col("outside") > small)
-        if last or rest.isEmpty():
+        open_ = ~F.col("dense") & (F.col("outside") > small)
+        left = large.where(open_).agg(F.coalesce(F.sum("outside"), F.lit(0))).first()[0] if level < depth else 0
+        if left <= CHEAP * n_classes:
+            leaves.append(large.select("node", "rep", "grp"))
             break
+        leaves.append(large.where(~open_).select("node", "rep", "grp"))
+        rest = large.where(open_)
         if level == 1:
             rest = rest.join(classes.select("rep", "sig"), "rep")
-        found, more = _grouped(common.stored(branch(rest.select("tree", "node", "rep", "n", "sk", "comp", "sig"), level, trees, share), "nodes"), percent)
+        found, more = _grouped(common.stored(branch(rest.select("tree", "node", "rep", "n", "sk", "comp", "grp", "sig"), level, trees, share), "nodes"), percent)
         stars.append(more)
         smalls.append(found.where(F.col("size") <= small).select("node", "rep", "n", "sk"))
-        large = common.stored(_outside(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk", "comp", "sig")), "large")
-    if stars:
-        links, comps = _joined(links, comps, [confirm(_union(stars), docs, classes, width, percent, id_col, text_col)])
-    pairs = common.stored(_across(_with_comp(_union(smalls), comps), percent).distinct(), "across")
-    extra = [] if pairs.isEmpty() else [confirm(pairs, docs, classes, width, percent, id_col, text_col)]
+        large = common.stored(_judged(found.where(F.col("size") > small).select("tree", "node", "rep", "n", "sk", "comp", "grp", "sig")), "judged")
+    pairs = common.stored(_union([_across(_with_comp(_union(smalls), comps), percent), *stars]).distinct(), "across")
+    if not pairs.isEmpty():
+        links, comps = _joined(links, comps, [confirm(pairs, docs, classes, width, percent, id_col, text_col)])
     members = common.stored(_with_comp(_union(leaves), comps), "leaves")
-    if not members.isEmpty():
-        extra.append(_leaf_links(members, docs, classes, width, percent, id_col, text_col))
+    extra = [] if members.isEmpty() else [_leaf_links(members, docs, classes, width, percent, id_col, text_col)]
     links, comps = _joined(links, comps, extra)
     ids = classes.select("fp", "rep", "copies").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "copies")
     out = common.with_lookup(described.select("id", "n", "fp"), "fp", ids, "copies", common.hot_limit(total))
@@ -325,10 +329,40 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*rows.columns, F.coalesce("component_id", "rep").alias("comp"))
 
 
-def _outside(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one component, with the number of the node's classes outside its largest."""
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg((F.sum("k") - F.max("k")).alias("outside"), F.sum("k").alias("c")).where("outside > 0")
-    return common.with_lookup(rows, "node", sizes, "c", common.hot_limit(rows.count())).where("outside IS NOT NULL")
+def _in_main(label):
+    """Whether a row (node, comp, grp) is one of those that ``label`` stands for: a component, or a group of another node."""
+    return (F.xxhash64("comp") == label) | F.coalesce((F.col("grp") != F.col("node")) & (F.xxhash64(F.lit("group"), "grp") == label), F.lit(False))
+
+
+def _mains(rows: DataFrame) -> DataFrame:
+    """For nodes with pairs that are still to be compared: the label of the most classes whose pairs need no comparison (one component, or compared in another node), how many lie outside, and the size."""
+    label = F.array_compact(F.array(F.xxhash64("comp"), F.when(F.col("grp") != F.col("node"), F.xxhash64(F.lit("group"), "grp"))))
+    total = F.max(F.when(F.col("label").isNull(), F.col("k"))).alias("c")
+    counted = rows.select("node", F.explode(F.concat(label, F.array(F.lit(None).cast("long")))).alias("label")).groupBy("node", "label").agg(F.count("*").alias("k"))
+    top = counted.groupBy("node").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("k", "label"))).alias("top"), total)
+    return top.select("node", F.col("top.label").alias("label"), (F.col("c") - F.col("top.k")).alias("outside"), "c").where("outside > 0")
+
+
+def _density(rows: DataFrame, bits: int = 32) -> DataFrame:
+    """Whether a node is dense, by the average similarity of its pairs, which follows from how many of its sketches have each bit."""
+    counted = rows.groupBy("node").agg(F.count("*").alias("m"), *[F.expr(f"sum((sk >> {i}) & 1) AS b{i}") for i in range(bits)])
+    differ = " + ".join(f"b{i} * (m - b{i})" for i in range(bits))
+    return counted.select("node", F.expr(f"1 - 4 * ({differ}) / ({bits} * m * (m - 1)) >= {DENSE} AS dense"))
+
+
+def _judged(rows: DataFrame, density: DataFrame | None = None) -> DataFrame:
+    """Rows of nodes with pairs that are still to be compared, with ``outside`` (see _mains) and ``dense``."""
+    nodes = common.stored(_mains(rows).join(density or _density(rows), "node").select("node", "outside", "dense", "c"), "nodes-judged")
+    return common.with_lookup(rows, "node", nodes, "c", common.hot_limit(rows.count())).where("outside IS NOT NULL")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows of large roots, judged, with the group of each class: the first dense root that holds it."""
+    density = common.stored(_density(rows), "density")
+    dense = density.where("dense").select("node")
+    inside = rows.join(F.broadcast(dense) if density.count() <= MOST_BROADCAST_IDS else dense, "node", "left_semi")
+    groups = inside.groupBy(F.col("rep").alias("_rep")).agg(F.min(F.struct("tree", "node")).alias("g")).select("_rep", F.col("g.node").alias("grp"))
+    return _judged(common.stored(rows.join(groups, F.col("rep") == F.col("_rep"), "left").drop("_rep"), "grouped"), density)
 
 
 def _joined(links: DataFrame, comps: DataFrame, more: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -125,14 +125,21 @@ def test_recall_at_threshold():
     b = r.normal(size=(4000, 64))
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    q = ann.learn(a)
-    d = q.codes(a) ^ q.codes(0.95 * a + np.sqrt(1 - 0.95**2) * b)
-    hit = np.zeros(len(a), bool)
-    for t in range(ann.TABLES):
-        hit |= np.bitwise_count((d >> np.uint64(ann.WIDTH * t)) & np.uint64(0xFFFF)) <= 1
-    assert hit.mean() >= 0.9
-    balance = [((q.codes(a) >> np.uint64(k)) & np.uint64(1)).mean() for k in range(64)]
-    assert max(abs(x - 0.5) for x in balance) < 0.06
+    for n in (10_000, 50_000, 1_000_000, 1 << 30):
+        p = ann.plan(n)
+        q = ann.Quantiser(p.bits, {64: ann.learn(a, p.bits)})
+        x, y = q.codes(a), q.codes(0.95 * a + np.sqrt(1 - 0.95**2) * b)
+        hit = (np.bitwise_count(ann._keys(x, p) ^ ann._keys(y, p)) <= 1).any(1) & (np.bitwise_count(x ^ y).sum(1) <= p.most)
+        assert hit.mean() >= 0.9, n
+        balance = np.unpackbits(x, axis=1).mean(0)
+        assert max(abs(v - 0.5) for v in balance) < 0.06
+
+
+def test_keys_grow_with_the_table():
+    """Rows sent to the tables for each vector grow by less than the fourth root of n, and buckets hold about four vectors, at any size."""
+    sent = [ann.plan(n).tables * (1 + ann.plan(n).width / 2) for n in (10**4, 10**6, 10**8, 10**10)]
+    assert all(b <= 100**0.25 * a for a, b in zip(sent, sent[1:], strict=False))
+    assert all(1 <= n / 2 ** ann.plan(n).width <= 8 for n in (10**4, 10**6, 10**8, 10**10))
 
 
 def test_vector_edges(spark):
@@ -146,3 +153,26 @@ def test_vector_edges(spark):
 def test_negative_zeros_link(spark):
     df = rows(spark, [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [1.0, -0.0]), (4, [-0.0, 1.0]), (5, [-0.0, -0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, ann.near_vectors(df).collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_rarer_dimensions_link_among_themselves(spark):
+    df = rows(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [3.0]), (7, [1e-200, 0.0, 0.0, 0.0]), (8, [1e200, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in ann.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
+def test_whole_buckets_and_pairs():
+    r = random.Random(2)
+    keys = sorted((r.randrange(4), r.randrange(4)) for _ in range(60)) + [(9, 9)] * 40
+    table = [{"a": a, "b": b, "role": int(i % 3 > 0)} for i, (a, b) in enumerate(keys)]
+    import pyarrow as pa
+
+    table = sorted(table, key=lambda x: (x["a"], x["b"], x["role"]))
+    cut = [0, 3, 4, 30, 61, 62, 80, 100]
+    batches = [pa.RecordBatch.from_pylist(table[i:j], pa.schema([("a", pa.int32()), ("b", pa.int64()), ("role", pa.int8())])) for i, j in zip(cut, cut[1:], strict=False)]
+    parts = list(ann._whole_buckets(iter(batches), 2))
+    assert [x for part in parts for x in part.to_pylist()] == table
+    assert len({(x["a"], x["b"]) for x in table}) == sum(len({(x["a"], x["b"]) for x in part.to_pylist()}) for part in parts)
+    group, role = ann._numbered(pa.Table.from_batches(batches).combine_chunks().to_batches()[0], 2), np.array([x["role"] for x in table])
+    want = {(i, j) for i in range(100) for j in range(i) if group[i] == group[j] and role[j] == 0}
+    assert {(int(i), int(j)) for q, m in ann._pairs(group, role, 7) for i, j in zip(q, m, strict=True)} == want

@@ -38,6 +38,23 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
 
 
+def test_clashing_columns_null_and_repeated_ids(spark):
+    """Decisions are made row by row, whatever further columns are called."""
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 100").first().text
+    base = " ".join(f"word{i}" for i in range(60))
+    data = [(1, base), (1, base + " more"), (1, "quite another text of some words"), (2, base), (None, base), (None, item), (3, item), (3, "clean text"), (4, None), (4, None), (5, "ABC")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'p' AS predicted", "1 AS score", "true AS held_out", "2 AS _gone", "3 AS _key", "4 AS _id", "5 AS _text", "6 AS _again", "7 AS kept", "8 AS component_id", "9 AS contaminated", "10 AS `a.b`")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "toxicity", "near_duplicates", "decontamination"):
+        out = stages[name](spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.count() <= len(data), name
+    near = sorted((str(r.doc_id), str(r.text)[:5], r._gone) for r in stages["near_duplicates"](spark, docs, SF).collect())
+    assert [x[:2] for x in near] == sorted([("1", "word0"), ("1", "quite"), ("3", item[:5]), ("3", "clean"), ("4", "None"), ("5", "ABC")]) and {x[2] for x in near} == {2}
+    clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, "/root/testdata/sf0.001").collect()]
+    assert sorted(map(str, clean)) == sorted(str(x) for x in data if x[1] != item)
+    assert stages["tokens"](spark, docs, SF).count() == len(data)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "tokens"]
 
