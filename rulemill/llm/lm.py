@@ -32,22 +32,27 @@ PAIRS_PER_SHARD = 4_000_000
 HOT_SHARE = 1000
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def tokens(texts: list[str | None], memo: common.Memo) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the number of words of each."""
-    memo.trim()
+    from xxhash import xxh3_64_intdigest
+
     parts = []
     for text in texts:
         ws = text.encode().translate(common.LOWER).split() if text else []
-        parts.append(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)))
+        parts.append(np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, len(ws)))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and the place of each number among them; by hashing, for numbers that repeat often."""
+    d = pa.array(x).dictionary_encode()
+    u = d.dictionary.to_numpy()
+    order = np.argsort(u)
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], place[d.indices.to_numpy()]
+
+
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
@@ -180,8 +185,8 @@ class Arrays:
         self.words = [(_map(m.folder, k, np.uint64), _map(m.folder, c, np.uint64)) for k, c, _ in m.vocab]
         self.offsets = np.concatenate(([0], np.cumsum([n for _, _, n in m.vocab]))).astype(np.int64) + FIRST
         self.bits = max(0, (len(m.vocab) - 1).bit_length())
-        self.pairs = [(_map(m.folder, k, np.uint64), _map(m.folder, c, np.uint32)) for k, c in m.pairs]
-        self.ids = [_map(m.folder, f, np.uint32 if m.order == 2 else np.int64).reshape(-1, 4 if m.order == 2 else 5) for f, _, _ in m.ids]
+        self.pairs = [(_map(m.folder, k, np.uint64), _Small(m.folder, c)) for k, c in m.pairs]
+        self.ids = [_map(m.folder, f, np.int64).reshape(-1, 5) for f, _, _ in m.ids]
         self.id_starts = np.array([s for _, s, _ in m.ids], np.int64)
         self.pair_starts = np.array(m.pair_starts, np.int64)
         self.triples = [(_map(m.folder, k, np.uint64), _Small(m.folder, c)) for k, c in m.triples]
@@ -208,12 +213,9 @@ class Arrays:
         out = np.zeros(len(pairs), np.int64)
         if not self.pairs:
             return out
-        shard = shard_of(pairs, hot, len(self.pairs))
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(len(self.pairs) + 1))
-        for s, (keys, ns) in enumerate(self.pairs):
-            i = order[edges[s] : edges[s + 1]]
-            if len(i) and len(keys):
+        for s, i in _by_shard(shard_of(pairs, hot, len(self.pairs)), len(self.pairs)):
+            keys, ns = self.pairs[s]
+            if len(keys):
                 at = np.minimum(np.searchsorted(keys, pairs[i]), len(keys) - 1)
                 ok = keys[at] == pairs[i]
                 out[i[ok]] = ns[at[ok]]
@@ -230,11 +232,13 @@ class Arrays:
                 out[i[ok]] = at[ok] + self.pair_starts[s]
         return out
 
-    def of_pairs(self, numbers: np.ndarray, read) -> np.ndarray:
-        """``read(shard, places)`` for numbers of known pairs."""
-        out = np.zeros(len(numbers), np.int64)
+    def of_pairs(self, numbers: np.ndarray, *reads) -> list[np.ndarray]:
+        """What each ``read(shard, places)`` has for numbers of known pairs."""
+        out = [np.zeros(len(numbers), np.int64) for _ in reads]
         for s, i in _by_shard(self.pair_shard(numbers), len(self.pairs)):
-            out[i] = read(s, numbers[i] - self.pair_starts[s])
+            at = numbers[i] - self.pair_starts[s]
+            for x, read in zip(out, reads, strict=True):
+                x[i] = read(s, at)
         return out
 
     def pair_shard(self, numbers: np.ndarray) -> np.ndarray:
@@ -253,8 +257,8 @@ class Arrays:
         return out
 
     def followers(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers for each of the sorted ids: followers seen once, twice, more often, distinct predecessors; at order three these are of adjusted counts, whose sum comes last."""
-        out = np.zeros((len(ids), 4 if self.m.order == 2 else 5), np.int64)
+        """Numbers for each of the sorted ids: followers seen once, twice, more often, distinct predecessors, sum of the followers' counts; at order three these are of adjusted counts."""
+        out = np.zeros((len(ids), 5), np.int64)
         edges = np.searchsorted(ids, [*self.id_starts, 1 << 62])
         for s, rows in enumerate(self.ids):
             a, b = edges[s], edges[s + 1]
@@ -274,9 +278,15 @@ def shard_of(pairs: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(key + np.uint64(1)) >> np.uint64(33)).astype(np.int64) % shards
 
 
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their shards, and where each shard's places start."""
+    if shards <= 1 << 16:
+        shard = shard.astype(np.uint16)  # sorted by radix
+    return np.argsort(shard, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+
+
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    order, edges = _dealt(shard, shards)
     for s in np.flatnonzero(edges[1:] > edges[:-1]):
         yield int(s), order[edges[s] : edges[s + 1]]
 
@@ -291,10 +301,10 @@ def arrays(m: Model) -> Arrays:
     return _OPEN[m.folder]
 
 
-def sequence(a: Arrays, texts: list[str | None], memo: common.Memo):
+def sequence(a: Arrays, texts: list[str | None]):
     """Ids and counts of all tokens with a begin before and an end after each text: (ids, counts, starts of texts, word numbers)."""
-    h, n = tokens(texts, memo)
-    u, back = np.unique(h, return_inverse=True)
+    h, n = tokens(texts)
+    u, back = _distinct(h)
     ids, counts = a.look_up(u)
     size = int(n.sum()) + 2 * len(n)
     starts = np.concatenate(([0], np.cumsum(n + 2)))[:-1].astype(np.int64)
@@ -321,9 +331,9 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     schema = "shard int, keys binary, counts binary, docs long"
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sums, n_docs = common.Memo(_hash), _Sums(), 0
+        sums, n_docs = _Sums(), 0
         for batch in common.pieces(batches, "_text", 8 << 20):
-            h, _ = tokens(batch.column(0).to_pylist(), memo)
+            h, _ = tokens(batch.column(0).to_pylist())
             sums.add(*np.unique(h, return_counts=True))
             n_docs += batch.num_rows
         k, c = sums.result()
@@ -358,9 +368,9 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     width = -(-(n_words + FIRST) // ranges)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, memo, sums = arrays(first.value), common.Memo(_hash), _Sums()
+        a, sums = arrays(first.value), _Sums()
         for batch in common.pieces(batches, "_text", 8 << 20):
-            seq, _, starts, n = sequence(a, batch.column(0).to_pylist(), memo)
+            seq, _, starts, n = sequence(a, batch.column(0).to_pylist())
             keep = np.ones(len(seq), bool)
             keep[starts + n + 1] = False
             keep = np.flatnonzero(keep)
@@ -391,14 +401,14 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         import pandas as pd
 
         k, c = _merge(frame)
-        rows = [{"kind": 0, "range": key[0], "ids": _save(folder, k), "values": _save(folder, c.astype(np.uint32)), "stats": [len(k), *(int((c == i).sum()) for i in (1, 2, 3, 4))], "a": None, "b": None}]
+        rows = [{"kind": 0, "range": key[0], "ids": _save(folder, k), "values": _save_small(folder, c), "stats": [len(k), *(int((c == i).sum()) for i in (1, 2, 3, 4))], "a": None, "b": None}]
         if order == 2:
             rows += profile(k, c)
         return pd.DataFrame(rows)
 
     pairs = common.stored(texts.mapInArrow(count_pairs, schema).groupBy("shard").applyInPandas(store_pairs, "kind int, range int, ids string, values string, stats array<long>, a binary, b binary"), "pairs")
     files = {r.range: r for r in pairs.where("kind = 0").select("range", "ids", "values", "stats").collect()}
-    none_k, none_c = _save(folder, np.zeros(0, np.uint64)), _save(folder, np.zeros(0, np.uint32))
+    none_k, none_c = _save(folder, np.zeros(0, np.uint64)), _save_small(folder, np.zeros(0, np.int64))
     model.pairs = [(files[s].ids, files[s]["values"]) if s in files else (none_k, none_c) for s in range(parts)]
     stats = np.array([r.stats for r in files.values()]).sum(0)
     model.pair_types, model.pair_discounts = int(stats[0]), _discounts([int(x) for x in stats[1:]])
@@ -413,7 +423,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             np.add.at(rows, x[0], x[1:].T[:, [0, 1, 2, 3, 3]] * np.array([1, 1, 1, 0, 1]))
             np.add.at(rows[:, 3], y[0], y[1])
         c = rows[:, 3]
-        return pd.DataFrame({"range": [key[0]], "file": [_save(folder, rows[:, :4].astype(np.uint32) if order == 2 else rows)], "n": [len(rows)], "stats": [[*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum())]]})
+        return pd.DataFrame({"range": [key[0]], "file": [_save(folder, rows)], "n": [len(rows)], "stats": [[*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum())]]})
 
     if order == 3:
         pairs = _fit_triples(model, texts, [int(files[s].stats[0]) if s in files else 0 for s in range(parts)], profile)
@@ -437,9 +447,9 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
     schema = "shard int, keys binary, counts binary, docs long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, memo, sums = arrays(shared.value), common.Memo(_hash), _Sums()
+        a, sums = arrays(shared.value), _Sums()
         for batch in common.pieces(batches, "_text", 8 << 20):
-            seq, _, starts, n = sequence(a, batch.column(0).to_pylist(), memo)
+            seq, _, starts, n = sequence(a, batch.column(0).to_pylist())
             keep = np.ones(len(seq), bool)
             keep[starts + n] = keep[starts + n + 1] = False
             at = np.flatnonzero(keep)
@@ -472,7 +482,8 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
         c = np.zeros(len(k), np.int64)
         for x, y in zip(frame.a, frame.b, strict=True):
             c[np.frombuffer(x, np.uint32)] += np.frombuffer(y, np.uint32)
-        c = np.where(k >> np.uint64(32) == BEGIN, own, c).astype(np.int64)
+        begin = np.flatnonzero(k >> np.uint64(32) == BEGIN)
+        c[begin] = own[begin]
         return pd.DataFrame([{"kind": 0, "range": s, "ids": _save_small(folder, c), "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "a": None, "b": None}, *({x: r[x] for x in ("kind", "range", "ids", "stats", "a", "b")} for r in profile(np.asarray(k), c))])
 
     triples = common.stored(texts.mapInArrow(count, schema).groupBy("shard").applyInPandas(store, "kind int, shard int, files array<string>, stats array<long>, a binary, b binary"), "triples")
@@ -503,8 +514,7 @@ def _hot_first(a: Arrays, pairs: np.ndarray) -> np.ndarray:
 
 
 def _deal(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int, n_docs: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    order, edges = _dealt(shard, shards)
     for s in range(shards):
         i = order[edges[s] : edges[s + 1]]
         if len(i) or n_docs:
@@ -542,7 +552,7 @@ def probabilities(a: Arrays, one: np.ndarray, two: np.ndarray, c_one: np.ndarray
         if m.adjusted:
             at = np.full(len(one), -1, np.int64)
             at[known] = a.pair_numbers(keys[known], hot[known])
-            c[at >= 0] = a.of_pairs(at[at >= 0], lambda s, i: a.adjusted[s][i])
+            c[at >= 0] = a.of_pairs(at[at >= 0], lambda s, i: a.adjusted[s][i])[0]
     spare = follow[:, :3] @ d[1:]
     with np.errstate(divide="ignore", invalid="ignore"):
         p = (np.maximum(c - d[np.minimum(c, 3)], 0) + spare * lower) / c_one
@@ -564,15 +574,16 @@ def _with_triples(a: Arrays, p: np.ndarray, one: np.ndarray, two: np.ndarray, c_
     d = np.array([0.0, *a.m.triple_discounts])
     c = np.zeros(len(i), np.int64)
     c[word >= 0] = a.triple_counts(context[word >= 0], word[word >= 0])
-    spare = sum(d[k + 1] * a.of_pairs(context, lambda s, x, k=k: a.kinds[s][k][x]) for k in range(3))
-    result[i] = (np.maximum(c - d[np.minimum(c, 3)], 0) + spare * result[i]) / a.of_pairs(context, lambda s, x: a.pairs[s][1][x])
+    *kinds, total = a.of_pairs(context, *(lambda s, x, k=k: a.kinds[s][k][x] for k in range(3)), lambda s, x: a.pairs[s][1][x])
+    spare = d[1] * kinds[0] + d[2] * kinds[1] + d[3] * kinds[2]
+    result[i] = (np.maximum(c - d[np.minimum(c, 3)], 0) + spare * result[i]) / total
     return result, out
 
 
-def score_texts(a: Arrays, texts: list[str | None], memo: common.Memo) -> tuple[np.ndarray, ...]:
+def score_texts(a: Arrays, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of each text."""
     m = a.m
-    seq, cnt, starts, n = sequence(a, texts, memo)
+    seq, cnt, starts, n = sequence(a, texts)
     follows = np.ones(len(seq), bool)
     follows[starts] = False
     at = np.flatnonzero(follows)
@@ -594,9 +605,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files and a few numbers for each shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, memo = arrays(shared.value), common.Memo(_hash)
+        a = arrays(shared.value)
         for batch in common.pieces(batches, "_text", 8 << 20):
-            n, known, base, value = score_texts(a, batch.column(1).to_pylist(), memo)
+            n, known, base, value = score_texts(a, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())], ["_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
