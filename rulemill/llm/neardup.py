@@ -59,21 +59,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def shingles(text: str | None, width: int, memo: common.Memo) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles; of the whole sequence if it is shorter; none without words."""
+    from xxhash import xxh3_64_intdigest
+
     if not text:
         return np.zeros(0, np.uint64)
     ws = text.encode().translate(common.LOWER).split()
     n = len(ws)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, n)
+    h = np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, n)
     k = min(n, width)
     total = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
@@ -101,10 +97,8 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = common.Memo(_word_hash)
         for batch in common.pieces(batches, "_text", 8 << 20):
-            memo.trim()
-            sets = [shingles(t, width, memo) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             sig = signatures(full) if full else np.zeros((0, TOKENS), np.uint32)
             sk = iter(sketches(sig).tolist())
@@ -169,10 +163,8 @@ def _sets(docs: DataFrame, need: DataFrame, classes: DataFrame, width: int, id_c
     kind = classes.schema["rep"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = common.Memo(_word_hash)
         for batch in common.pieces(batches, "_text", 8 << 20):
-            memo.trim()
-            sets = [shingles(t, width, memo).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == fp for s, fp in zip(sets, batch.column(2).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(same)
 
