@@ -29,6 +29,8 @@ HISTORY = T.StructType(
         T.StructField("change_summary", T.StringType()),
         T.StructField("changed_by", T.StringType()),
         T.StructField("changed_at", T.TimestampType()),
+        T.StructField("compile_status", T.StringType()),
+        T.StructField("compile_note", T.StringType()),
     ]
 )
 CREATED, UPDATED, ROLLBACK = "CREATED", "UPDATED", "ROLLBACK"
@@ -90,9 +92,11 @@ def with_views(rules: DataFrame) -> DataFrame:
     return rules.withColumns({"family": family(), "status": F.when(F.coalesce("enabled", F.lit(True)), "active").otherwise("inactive")})
 
 
-def search(rules: DataFrame, text: str | None = None, families: list[str] | None = None, status: str | None = None, tags: list[str] | None = None) -> DataFrame:
-    """Filters of the rule list: text in code or description whatever its case, family, status, and all of the tags."""
+def search(rules: DataFrame, text: str | None = None, families: list[str] | None = None, status: str | None = None, tags: list[str] | None = None, compile_status: str | None = None) -> DataFrame:
+    """Filters of the rule list: text in code or description whatever its case, family, status, all of the tags, and the status of its last compilation."""
     out = with_views(rules)
+    if compile_status:
+        out = out.where(F.col("compile_status") == compile_status)
     if text:
         t = text.lower()
         out = out.where(F.lower("rule_code").contains(t) | F.coalesce(F.lower("description").contains(t), F.lit(False)))
@@ -172,6 +176,12 @@ def import_totals(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count("*").alias("total"), count("VALID").alias("valid"), count("WARNING").alias("warnings"), count("ERROR").alias("errors"))
 
 
+def import_outcome_totals(outcomes: DataFrame) -> DataFrame:
+    """Totals of an executed import (rows of rule_code, outcome, reason)."""
+    count = lambda s: F.coalesce(F.sum(F.when(F.col("outcome") == s, 1).otherwise(0)), F.lit(0)).cast("long")
+    return outcomes.agg(F.count("*").alias("total"), count("imported").alias("imported"), count("skipped").alias("skipped"), count("failed").alias("failed"))
+
+
 class RuleCatalog:
     """Changes to the catalog in a folder of any store that Spark writes."""
 
@@ -206,7 +216,7 @@ class RuleCatalog:
     def _row(rule: Rule, change: str, summary: str, by: str | None) -> dict:
         row = dict(zip(RULE_ROW.fieldNames(), rule_row(rule), strict=True))
         row["conditions"] = [dict(zip(("field", "operator", "value"), c, strict=True)) for c in row["conditions"]]
-        return row | {"is_current": True, "change_type": change, "change_summary": summary, "changed_by": by, "changed_at": datetime.now(timezone.utc).replace(tzinfo=None)}
+        return row | {"is_current": True, "change_type": change, "change_summary": summary, "changed_by": by, "changed_at": datetime.now(timezone.utc).replace(tzinfo=None), "compile_status": "PENDING", "compile_note": None}
 
     def rules(self) -> list[Rule]:
         """Current rules, highest priority first."""
@@ -217,6 +227,21 @@ class RuleCatalog:
     def _rule(r: dict) -> Rule:
         return Rule.of(r | {"conditions": [c | {"value": None if c["value"] is None else json.loads(c["value"])} for c in r["conditions"]]})
 
+    def compile(self) -> DataFrame:
+        """Compile every current rule by itself and write its status and note back: OK, WARNING (it can never match) or ERROR. Returns rule_code, compile_status, compile_note."""
+        rows, out = self._rows(), []
+        for r in rows:
+            if r["is_current"]:
+                try:
+                    done = compile_rules([self._rule(r)]).rules[0]
+                    r["compile_status"], r["compile_note"] = done.status, done.note or None
+                except (CompilationError, ValueError, TypeError) as e:
+                    r["compile_status"], r["compile_note"] = "ERROR", str(e)
+                out.append((r["rule_code"], r["compile_status"], r["compile_note"]))
+        if out:
+            self._write(rows)
+        return self.spark.createDataFrame(out, "rule_code string, compile_status string, compile_note string")
+
     def find(self, code: str) -> Rule | None:
         rows = current(self.history().where((F.col("rule_code") == code) & F.col("is_current"))).limit(1).collect()
         return row_rule(rows[0]) if rows else None

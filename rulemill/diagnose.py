@@ -114,29 +114,92 @@ def rule_predicates(spark: SparkSession, compiled: CompiledRules) -> DataFrame:
 
 
 def combinations(spark: SparkSession, compiled: CompiledRules) -> DataFrame:
-    """One row for each alternative of a rule and each of its single-value predicates."""
+    """One row for each alternative of a rule and each of its single-value predicates, with the operator of these."""
     number: dict = {}
     rows, priority, seen = [], {r.code: r.rule.priority for r in compiled.rules}, {}
     for code, preds in compiled.expanded:
         seen[code] = seen.get(code, -1) + 1
-        rows.extend((code, priority[code], f"{code}#{seen[code]}", number.setdefault(p, len(number))) for p in sorted(preds, key=str))
-    return spark.createDataFrame(rows, "rule_code string, priority int, combination string, predicate_id int")
+        rows.extend((code, priority[code], f"{code}#{seen[code]}", number.setdefault(p, len(number)), p[1]) for p in sorted(preds, key=str))
+    return spark.createDataFrame(rows, "rule_code string, priority int, combination string, predicate_id int, operator string")
 
 
 def conflicts(posts: DataFrame, threshold: float = 0.5, different_priority: bool = False) -> DataFrame:
     """Pairs of rules whose predicate sets overlap by Jaccard >= threshold: rule_1, rule_2, shared, unique_1, unique_2, overlap, severity.
 
-    ``posts`` is a posting list (rule_code, priority, predicate_id). Only rules that share a predicate meet, through the join on it.
+    ``posts`` is a posting list (rule_code, priority, predicate_id). Each rule's predicates are ordered from rare to frequent; two sets of enough overlap share one of the first
+    n - ceil(threshold * n) + 1, so only these rare ones are joined, between rules whose sizes allow the overlap, and each pair found is confirmed once on the whole sets.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    sized = posts.dropDuplicates(["rule_code", "predicate_id"]).withColumn("n", F.count("*").over(W.partitionBy("rule_code")))
-    a, b = (sized.select(F.col("predicate_id"), F.col("rule_code").alias(f"rule_{i}"), F.col("priority").alias(f"priority_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
-    pairs = a.join(b, "predicate_id").where("rule_1 < rule_2")
+    distinct = posts.dropDuplicates(["rule_code", "predicate_id"])
+    uses = distinct.groupBy(F.col("predicate_id").alias("_id")).agg(F.count("*").alias("_uses"))
+    ordered = distinct.join(uses, F.col("predicate_id") == F.col("_id"))
+    sets = ordered.groupBy("rule_code").agg(F.first("priority").alias("priority"), F.array_sort(F.collect_list(F.struct("_uses", "predicate_id"))).alias("p"))
+    sets = sets.select("rule_code", "priority", F.transform("p", lambda x: x["predicate_id"]).alias("p"), F.size("p").alias("n"))
+    reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 if threshold else F.col("n")
+    rare = sets.select("rule_code", "priority", "n", F.explode(F.slice("p", F.lit(1), F.least(F.col("n"), reach).cast("int"))).alias("_id"))
+    a, b = (rare.select("_id", F.col("rule_code").alias(f"rule_{i}"), F.col("priority").alias(f"priority_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
+    pairs = a.join(b, "_id").where("rule_1 < rule_2").where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold - 1e-9)
     if different_priority:
         pairs = pairs.where("priority_1 <> priority_2")
-    shared = pairs.groupBy("rule_1", "rule_2", "n_1", "n_2").agg(F.count("*").alias("shared"))
+    one, two = (sets.select(F.col("rule_code").alias(f"rule_{i}"), F.col("p").alias(f"p_{i}")) for i in (1, 2))
+    both = pairs.select("rule_1", "rule_2", "n_1", "n_2").distinct().join(one, "rule_1").join(two, "rule_2")
+    shared = both.select("rule_1", "rule_2", "n_1", "n_2", F.size(F.array_intersect("p_1", "p_2")).cast("long").alias("shared"))
     overlap = F.col("shared") / (F.col("n_1") + F.col("n_2") - F.col("shared"))
     out = shared.withColumn("overlap", F.round(overlap, 6)).where(overlap >= threshold)
     severity = F.when(F.col("overlap") > 0.8, "HIGH").when(F.col("overlap") > 0.6, "MEDIUM").otherwise("LOW")
     return out.select("rule_1", "rule_2", "shared", (F.col("n_1") - F.col("shared")).alias("unique_1"), (F.col("n_2") - F.col("shared")).alias("unique_2"), "overlap", severity.alias("severity"))
+
+
+def by_overlap(found: DataFrame, n: int | None = None) -> DataFrame:
+    """Conflicts with the largest overlap first, equals in order of their rules; of these the first n on demand."""
+    out = found.orderBy(F.desc("overlap"), "rule_1", "rule_2")
+    return out if n is None else out.limit(n)
+
+
+# --- Rule sets over posting lists -------------------------------------------------------------------------------------------------
+
+
+def affected(posts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Rules that hold any of the predicates (predicate_id): the union of their posting lists."""
+    return posts.join(predicates.select("predicate_id").distinct(), "predicate_id", "left_semi").select("rule_code").distinct()
+
+
+def eligible(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The posting list cut to the given rules (rule_code): a semi join."""
+    return posts.join(rules.select("rule_code").distinct(), "rule_code", "left_semi")
+
+
+def surviving(rules: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rules and not the failed ones: an anti join."""
+    return rules.select("rule_code").distinct().join(failed.select("rule_code").distinct(), "rule_code", "left_anti")
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rules (rule_code) of both sets."""
+    return a.select("rule_code").intersect(b.select("rule_code"))
+
+
+STATIC = ("EQUAL_TO", "NOT_EQUAL_TO", "IS_NULL", "IS_NOT_NULL")
+
+
+def base_conditions(posts: DataFrame) -> DataFrame:
+    """One row on how combinations share their static predicates. ``posts`` is (combination, predicate_id, operator).
+
+    total_combinations, base_sets (distinct sets of static predicates), without_base, reduction_percent, avg_reuse (combinations of a set) and avg_set_size.
+    """
+    static = F.when(F.col("operator").isin(*STATIC), F.col("predicate_id"))
+    sets = posts.groupBy("combination").agg(F.array_sort(F.collect_set(static)).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    has = F.size("s") > 0
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    out = sets.agg(total(F.col("n")).alias("total_combinations"), total(F.when(has, 1)).alias("base_sets"), total(F.when(~has, F.col("n"))).alias("without_base"), F.coalesce(F.round(F.avg(F.when(has, F.size("s"))), 6), F.lit(0.0)).alias("avg_set_size"))
+    based = F.col("total_combinations") - F.col("without_base")
+    reduction = F.when(F.col("total_combinations") > 0, F.round((1 - F.col("base_sets") / F.greatest(F.lit(1), based)) * 100, 6)).otherwise(0.0)
+    reuse = F.when(F.col("base_sets") > 0, F.round(based / F.col("base_sets"), 6)).otherwise(0.0)
+    return out.select("total_combinations", "base_sets", "without_base", reduction.alias("reduction_percent"), reuse.alias("avg_reuse"), "avg_set_size")
+
+
+def representatives(posts: DataFrame) -> DataFrame:
+    """The first rule (by priority, then code) of each distinct combination of predicates, and how many rules share it. ``posts`` is (rule_code, priority, combination, predicate_id)."""
+    sets = posts.groupBy("rule_code", "priority", "combination").agg(F.array_sort(F.collect_set("predicate_id")).alias("s"))
+    return sets.groupBy("s").agg(F.min(F.struct((-F.col("priority")).alias("o"), "rule_code")).alias("m"), F.count_distinct("rule_code").alias("rules")).select(F.col("m.rule_code").alias("representative"), F.size("s").alias("predicates"), "rules")

@@ -83,6 +83,22 @@ def match_arrays(matches: DataFrame) -> DataFrame:
     )
 
 
+def match_counts(view: EventView, compiled: CompiledRules) -> DataFrame:
+    """Number of matching rules of every event, 0 included, without a shuffle: rules are columns."""
+    view = view.prune(compiled.fields)
+    n = F.size("m") if compiled.live else F.lit(0)
+    return (_arrays(view, compiled.live) if compiled.live else view.df).select("event_id", n.cast("long").alias("n_matched"))
+
+
+def match_lists(view: EventView, compiled: CompiledRules, selection: str = ALL_MATCHES, k: int = 1) -> DataFrame:
+    """What ``match_arrays`` gives, without a shuffle: rules are columns, and an event's matches are selected and ordered within its array."""
+    if not compiled.live:
+        return match_arrays(_none(view))
+    found = _arrays(view.prune(compiled.fields), compiled.live, selection, k).where(F.size("m") > 0)
+    ordered = F.array_sort(F.transform("m", lambda x: F.struct((-x["priority"]).alias("order"), x["rule_code"].alias("rule_code"), x["priority"].alias("priority"), x["description"].alias("description"))))
+    return found.select("event_id", F.transform(ordered, lambda x: F.struct(x["rule_code"].alias("rule_code"), x["priority"].alias("priority"), x["description"].alias("description"))).alias("matched_rules"), F.size("m").alias("n_matched"))
+
+
 def _none(view: EventView) -> DataFrame:
     return view.df.limit(0).select("event_id", F.lit("").alias("rule_code"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("description"), F.lit("").alias("family"))
 

@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import catalog, diagnose, metrics
 from .functions import event_view
 from .functions.events import EventView
 from .model import ALL_MATCHES, FIRST_MATCH, MAX_PRIORITY_PER_FAMILY, TOP_K
-from .plans import compile_rules, evaluate, match_arrays
+from .plans import compile_rules, evaluate, match_counts, match_lists
 from .shared import shared_dir
 from .sources import match_json, rules_frame
 
@@ -161,11 +162,21 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.per_event(transactions(spark, sf_dir).df, _matches(spark, sf_dir))
+    return match_counts(transactions(spark, sf_dir), compile_rules(PAYMENT_RULES))
+
+
+#: The payment rules and one that never matches, for the statistics that cover all rules.
+COUNTED_RULES = [*PAYMENT_RULES, rule("NEVER", ("segment", "EQUAL_TO", "no such segment"), priority=1)]
+
+
+def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = evaluate(transactions(spark, sf_dir), compile_rules(COUNTED_RULES))
+    return metrics.rule_load(_read(spark, sf_dir, "orders"), matches, rules_frame(spark, COUNTED_RULES))
 
 
 _COUNT = f"{_PAY}, c AS (SELECT t.event_id, count(m.rule_code) AS n_matched FROM t LEFT JOIN m USING (event_id) GROUP BY 1)"
-_LOAD = f"{_PAY}, load AS (SELECT rule_code, (SELECT count(*) FROM t) AS evaluations, count(*) AS matches, round(count(*) / (SELECT count(*) FROM t), 6) AS match_rate FROM m GROUP BY 1)"
+_CODES = "r(rule_code) AS (VALUES " + ", ".join(f"('{r['rule_code']}')" for r in COUNTED_RULES) + ")"
+_LOAD = f"{_PAY}, {_CODES}, load AS (SELECT r.rule_code, (SELECT count(*) FROM orders) AS evaluations, count(m.event_id) AS matches, round(count(m.event_id) / (SELECT count(*) FROM orders), 6) AS match_rate FROM r LEFT JOIN m USING (rule_code) GROUP BY 1)"
 
 
 @query("disabled_rule_skipped", f"{_PAY} SELECT event_id, rule_code, priority FROM m WHERE rule_code <> 'OPS.PATTERN'")
@@ -182,7 +193,7 @@ def _(spark, sf_dir):
 
 @query("match_array_form", f"{_PAY} SELECT event_id, string_agg(rule_code || ':' || priority, ',' ORDER BY priority DESC, rule_code) AS matched, count(*)::INTEGER AS n_matched FROM m GROUP BY 1")
 def _(spark, sf_dir):
-    found = match_arrays(_matches(spark, sf_dir))
+    found = match_lists(transactions(spark, sf_dir), compile_rules(PAYMENT_RULES))
     return found.select("event_id", F.array_join(F.transform("matched_rules", lambda x: F.concat_ws(":", x["rule_code"], x["priority"])), ",").alias("matched"), "n_matched")
 
 
@@ -201,22 +212,58 @@ def _(spark, sf_dir):
 
 @query("match_rate_by_rule", f"{_LOAD} SELECT * FROM load")
 def _(spark, sf_dir):
-    return metrics.rule_load(transactions(spark, sf_dir).df, _matches(spark, sf_dir))
+    return _load(spark, sf_dir)
 
 
 @query("hot_rules_topn", f"{_LOAD} SELECT * FROM load ORDER BY matches DESC, rule_code LIMIT 3")
 def _(spark, sf_dir):
-    return metrics.hot_rules(metrics.rule_load(transactions(spark, sf_dir).df, _matches(spark, sf_dir)), 3)
+    return metrics.hot_rules(_load(spark, sf_dir), 3)
 
 
-@query("metrics_summary", f"{_LOAD} SELECT max(evaluations) AS evaluations, sum(matches)::BIGINT AS matches, count(*) AS rules, round(sum(matches) / (max(evaluations) * count(*)), 6) AS match_rate, round(max(evaluations) * 60 / 30.0::DOUBLE, 6) AS events_per_minute FROM load")
+# Every event type is a rule, with one that never occurs; the samples of a rule's latency are the values of the events that it matched.
+_TYPES = ["click", "view", "purchase", "error", "signup", "none"]
+
+
+@query(
+    "rule_metrics",
+    f"""WITH r(rule_code) AS (VALUES {", ".join(f"('T.{t}')" for t in _TYPES)}), m AS (SELECT 'T.' || event_type AS rule_code, event_id, ts, value FROM events WHERE value > 5),
+    s AS (SELECT rule_code, quantile_disc(value, 0.99)::DOUBLE AS p99, floor(avg(value))::DOUBLE AS avg_value, max(value)::DOUBLE AS max_value FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY rule_code ORDER BY ts DESC, event_id DESC) <= 1000) GROUP BY 1)
+    SELECT r.rule_code, (SELECT count(*) FROM events) AS evaluations, count(m.event_id) AS matches, round(count(m.event_id) / (SELECT count(*) FROM events), 6) AS match_rate, coalesce(any_value(p99), 0) AS p99, coalesce(any_value(avg_value), 0) AS avg_value, coalesce(any_value(max_value), 0) AS max_value
+    FROM r LEFT JOIN m USING (rule_code) LEFT JOIN s USING (rule_code) GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    rules = [rule(f"T.{t}", ("event_type", "EQUAL_TO", t), ("value", "GREATER_THAN", 5)) for t in _TYPES]
+    table = _read(spark, sf_dir, "events")
+    matches = evaluate(events(spark, sf_dir), compile_rules(rules))
+    samples = matches.select("rule_code", "event_id").join(table.select("event_id", "ts", "value"), "event_id")
+    return metrics.rule_metrics(metrics.rule_load(table, matches, rules_frame(spark, rules)), samples, "value", [F.desc("ts"), F.desc("event_id")])
+
+
+@query("metrics_summary", f"{_COUNT} SELECT count(*) AS evaluations, count(*) FILTER (n_matched > 0) AS matches, round(count(*) FILTER (n_matched > 0) / count(*), 6) AS match_rate, {len(PAYMENT_RULES)}::BIGINT AS rules, round(count(*) * 60 / 30.0::DOUBLE, 6) AS events_per_minute FROM c")
 def _(spark, sf_dir):
-    return metrics.summary(metrics.rule_load(transactions(spark, sf_dir).df, _matches(spark, sf_dir)), 30)
+    return metrics.summary(_per_event(spark, sf_dir), len(PAYMENT_RULES), 30)
+
+
+@query("evaluation_averages", f"{_COUNT} SELECT count(*) AS evaluations, 17.0::DOUBLE AS predicates_per_evaluation, round(sum(n_matched) / count(*), 6) AS matches_per_evaluation FROM c")
+def _(spark, sf_dir):
+    compiled = compile_rules(PAYMENT_RULES)
+    return metrics.evaluation_averages(_per_event(spark, sf_dir), len(compiled.predicates()))
 
 
 @query("batch_unmatched_sorted", f"{_COUNT} SELECT event_id, n_matched FROM c WHERE n_matched = 0")
 def _(spark, sf_dir):
-    return _per_event(spark, sf_dir).where("n_matched = 0").orderBy("event_id")
+    return metrics.batch_results(_per_event(spark, sf_dir), "id", matched=False)
+
+
+@query("batch_matched_by_matches", f"{_COUNT} SELECT event_id, n_matched FROM c WHERE n_matched > 0")
+def _(spark, sf_dir):
+    return metrics.batch_results(_per_event(spark, sf_dir), "matches", matched=True)
+
+
+@query("batch_by_time", f"WITH t AS {_EV_SQL} SELECT event_id, (upper(event_type) = 'CLICK')::BIGINT AS n_matched, value FROM t")
+def _(spark, sf_dir):
+    counts = match_counts(events(spark, sf_dir), compile_rules([rule("CLICK", ("event_type", "EQUAL_TO", "click"))]))
+    return metrics.batch_results(counts.join(_read(spark, sf_dir, "events").select("event_id", "value"), "event_id"), "time", time="value")
 
 
 @query("slow_events_top10", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
@@ -366,16 +413,68 @@ def _(spark, sf_dir):
     return diagnose.conflicts(diagnose.rule_predicates(spark, compile_rules(_SET)), different_priority=True).select("rule_1", "rule_2", "overlap", "severity")
 
 
-# Rules as data at scale: what each supplier sold in lines of 45 pieces or more (not all lines, here and in the SQL) is a rule-like predicate set, and conflicts are found by the same join.
+@query("conflicts_ranked", f"SELECT rule_1, rule_2, overlap, severity FROM {_CONFLICTS} ORDER BY overlap DESC, rule_1, rule_2 LIMIT 2")
+def _(spark, sf_dir):
+    return diagnose.by_overlap(diagnose.conflicts(diagnose.rule_predicates(spark, compile_rules(_SET))), 2).select("rule_1", "rule_2", "overlap", "severity")
+
+
+@query("base_condition_stats", "SELECT 6::BIGINT AS total_combinations, 4::BIGINT AS base_sets, 0::BIGINT AS without_base, round((1 - 4 / 6.0::DOUBLE) * 100, 6) AS reduction_percent, 1.5::DOUBLE AS avg_reuse, 1.75::DOUBLE AS avg_set_size")
+def _(spark, sf_dir):
+    return diagnose.base_conditions(diagnose.combinations(spark, compile_rules(_SET)))
+
+
+# Rules as data at scale: the parts, in 600 classes, that a supplier sold are a rule-like predicate set. All order lines are read.
+_POSTS = "p AS (SELECT DISTINCT 'S' || l_suppkey AS rule_code, l_partkey % 600 AS predicate_id FROM lineitem)"
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("rule_code"), F.lit(1).alias("priority"), (F.col("l_partkey") % 600).alias("predicate_id"))
+
+
+def _suppliers(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").where(where).select(F.concat(F.lit("S"), "s_suppkey").alias("rule_code"))
+
+
 @query(
     "conflicts_of_profiles",
-    """WITH p AS (SELECT DISTINCT 'S' || l_suppkey AS rule_code, l_partkey % 40 AS predicate_id FROM lineitem WHERE l_quantity >= 45), n AS (SELECT rule_code, predicate_id, count(*) OVER (PARTITION BY rule_code) AS n FROM p),
+    f"""WITH {_POSTS}, n AS (SELECT rule_code, predicate_id, count(*) OVER (PARTITION BY rule_code) AS n FROM p),
     s AS (SELECT a.rule_code AS rule_1, b.rule_code AS rule_2, a.n AS n1, b.n AS n2, count(*) AS shared FROM n a JOIN n b USING (predicate_id) WHERE a.rule_code < b.rule_code GROUP BY ALL)
     SELECT rule_1, rule_2, shared, n1 - shared AS unique_1, n2 - shared AS unique_2, round(shared / (n1 + n2 - shared), 6) AS overlap, CASE WHEN round(shared / (n1 + n2 - shared), 6) > 0.8 THEN 'HIGH' WHEN round(shared / (n1 + n2 - shared), 6) > 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s WHERE shared / (n1 + n2 - shared) >= 0.5""",
 )
 def _(spark, sf_dir):
-    posts = _read(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.concat(F.lit("S"), "l_suppkey").alias("rule_code"), F.lit(1).alias("priority"), (F.col("l_partkey") % 40).alias("predicate_id"))
-    return diagnose.conflicts(posts)
+    return diagnose.conflicts(_posts(spark, sf_dir))
+
+
+@query("affected_rules", f"WITH {_POSTS} SELECT DISTINCT rule_code FROM p WHERE predicate_id IN (SELECT p_partkey % 600 FROM part WHERE p_size = 1)")
+def _(spark, sf_dir):
+    small = _read(spark, sf_dir, "part").where("p_size = 1").select((F.col("p_partkey") % 600).alias("predicate_id"))
+    return diagnose.affected(_posts(spark, sf_dir), small)
+
+
+@query("eligible_postings", f"WITH {_POSTS} SELECT rule_code, count(*) AS n FROM p WHERE rule_code IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
+def _(spark, sf_dir):
+    kept = diagnose.eligible(_posts(spark, sf_dir), _suppliers(spark, sf_dir, "s_acctbal > 0"))
+    return kept.groupBy("rule_code").agg(F.count_distinct("predicate_id").alias("n"))
+
+
+@query("surviving_rules", f"WITH {_POSTS} SELECT DISTINCT rule_code FROM p WHERE rule_code NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey < 12)")
+def _(spark, sf_dir):
+    return diagnose.surviving(_posts(spark, sf_dir), _suppliers(spark, sf_dir, "s_nationkey < 12"))
+
+
+@query("rules_in_both", "SELECT 'S' || s_suppkey AS rule_code FROM supplier WHERE s_acctbal > 0 INTERSECT SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey < 12")
+def _(spark, sf_dir):
+    return diagnose.in_both(_suppliers(spark, sf_dir, "s_acctbal > 0"), _suppliers(spark, sf_dir, "s_nationkey < 12"))
+
+
+@query(
+    "combination_representatives",
+    """WITH p AS (SELECT DISTINCT 'C' || o_custkey AS rule_code, o_custkey % 7 AS priority, o_orderpriority || o_orderstatus AS predicate_id FROM orders), s AS (SELECT rule_code, priority, list_sort(list(predicate_id)) AS s FROM p GROUP BY 1, 2)
+    SELECT first(rule_code ORDER BY priority DESC, rule_code) AS representative, len(s)::INTEGER AS predicates, count(*) AS rules FROM s GROUP BY s""",
+)
+def _(spark, sf_dir):
+    code = F.concat(F.lit("C"), "o_custkey")
+    return diagnose.representatives(_read(spark, sf_dir, "orders").select(code.alias("rule_code"), (F.col("o_custkey") % 7).alias("priority"), code.alias("combination"), F.concat("o_orderpriority", "o_orderstatus").alias("predicate_id")))
 
 
 # --- Catalog ----------------------------------------------------------------------------------------------------------------------
@@ -502,6 +601,98 @@ def _(spark, sf_dir):
     return c.history().select("rule_code", "version", "is_current", "change_type")
 
 
+@query("import_execution_totals", "SELECT 6::BIGINT AS total, 2::BIGINT AS imported, 1::BIGINT AS skipped, 3::BIGINT AS failed")
+def _(spark, sf_dir):
+    return catalog.import_outcome_totals(_catalog(spark).import_execute(_IMPORT, catalog.SKIP))
+
+
+def _compiled_catalog(spark: SparkSession) -> tuple[catalog.RuleCatalog, DataFrame]:
+    c = _catalog(spark)
+    c.create(rule("NEVER", ("amount", "LESS_THAN", 1), ("amount", "GREATER_THAN", 2), priority=2))
+    return c, c.compile()
+
+
+@query("compile_from_table", "SELECT * FROM (VALUES ('TX.A', 'OK'), ('NEVER', 'WARNING')) v(rule_code, compile_status)")
+def _(spark, sf_dir):
+    return _compiled_catalog(spark)[1].select("rule_code", "compile_status")
+
+
+@query("rules_by_compile_status", "SELECT 'NEVER' AS rule_code, 2 AS priority")
+def _(spark, sf_dir):
+    c, _done = _compiled_catalog(spark)
+    return catalog.search(catalog.current(c.history().where("is_current")), compile_status="WARNING").select("rule_code", "priority")
+
+
+# The same views over a history of real size: every order is a version of its customer's rule.
+
+_ORDER_HISTORY = """h AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 'C' ELSE 'CUST.C' END || o_custkey AS rule_code, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INTEGER AS version, (floor(o_totalprice) % 1000)::INTEGER AS priority,
+ 'Order of ' || o_orderpriority AS description, o_orderstatus <> 'F' AS enabled, [o_orderpriority, 'family:' || o_orderstatus] AS tags, floor(o_totalprice)::BIGINT::VARCHAR AS amount, '"' || o_orderstatus || '"' AS status FROM orders)"""
+_ORDER_RULES = f"WITH {_ORDER_HISTORY}, cur AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY rule_code ORDER BY version DESC) = 1)"
+
+
+def _order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    condition = lambda f, op, v: F.struct(F.lit(f).alias("field"), F.lit(op).alias("operator"), v.alias("value"))
+    return _read(spark, sf_dir, "orders").select(
+        F.concat(F.when(F.col("o_custkey") % 3 == 0, "C").otherwise("CUST.C"), "o_custkey").alias("rule_code"),
+        F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("version"),
+        (F.floor("o_totalprice") % 1000).cast("int").alias("priority"),
+        F.concat(F.lit("Order of "), "o_orderpriority").alias("description"),
+        (F.col("o_orderstatus") != "F").alias("enabled"),
+        F.array("o_orderpriority", F.concat(F.lit("family:"), "o_orderstatus")).alias("tags"),
+        F.array(condition("amount", "GREATER_THAN", F.floor("o_totalprice").cast("string")), condition("status", "EQUAL_TO", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))).alias("conditions"),
+    )
+
+
+@query("orders_rules_current", f"{_ORDER_RULES} SELECT rule_code, version, priority FROM cur")
+def _(spark, sf_dir):
+    return catalog.current(_order_history(spark, sf_dir)).select("rule_code", "version", "priority")
+
+
+@query("orders_version_counts", f"WITH {_ORDER_HISTORY} SELECT rule_code, count(*) AS versions, max(version) AS last_version FROM h GROUP BY 1")
+def _(spark, sf_dir):
+    return catalog.version_counts(_order_history(spark, sf_dir))
+
+
+@query(
+    "orders_change_summary",
+    f"""WITH {_ORDER_HISTORY}, l AS (SELECT *, lag(version) OVER w AS v0, lag(amount || status) OVER w AS c0, lag(priority) OVER w AS p0, lag(description) OVER w AS d0, lag(enabled) OVER w AS e0, lag(tags) OVER w AS t0 FROM h WINDOW w AS (PARTITION BY rule_code ORDER BY version)),
+    s AS (SELECT rule_code, version, v0, concat_ws(', ', CASE WHEN c0 <> amount || status THEN 'conditions changed' END, CASE WHEN p0 <> priority THEN 'priority changed' END, CASE WHEN d0 <> description THEN 'description changed' END, CASE WHEN e0 <> enabled THEN 'status changed' END, CASE WHEN t0 <> tags THEN 'tags changed' END) AS c FROM l)
+    SELECT rule_code, version, CASE WHEN v0 IS NULL THEN 'Rule created' WHEN c = '' THEN 'Rule updated' ELSE c END AS summary FROM s""",
+)
+def _(spark, sf_dir):
+    return catalog.change_summary(_order_history(spark, sf_dir))
+
+
+@query(
+    "orders_version_diff",
+    f"""WITH {_ORDER_HISTORY}, o AS (SELECT * FROM h WHERE rule_code = 'CUST.C1' AND version = 1), n AS (SELECT * FROM h WHERE rule_code = 'CUST.C1' AND version = 2),
+    d AS (SELECT 'AMOUNT' AS field, 'GREATER_THAN ' || o.amount AS old_condition, 'GREATER_THAN ' || n.amount AS new_condition FROM o, n UNION ALL SELECT 'STATUS', 'EQUAL_TO ' || o.status, 'EQUAL_TO ' || n.status FROM o, n)
+    SELECT *, CASE WHEN old_condition = new_condition THEN 'unchanged' ELSE 'modified' END AS change FROM d""",
+)
+def _(spark, sf_dir):
+    return catalog.version_diff(_order_history(spark, sf_dir), "CUST.C1", 1, 2)
+
+
+@query("orders_tag_counts", f"{_ORDER_RULES} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM cur) GROUP BY 1")
+def _(spark, sf_dir):
+    return catalog.tag_counts(catalog.current(_order_history(spark, sf_dir)))
+
+
+@query("orders_family_counts", f"{_ORDER_RULES} SELECT {_FAMILY} AS family, count(*) AS n FROM cur GROUP BY 1")
+def _(spark, sf_dir):
+    return catalog.family_counts(catalog.current(_order_history(spark, sf_dir)))
+
+
+@query("orders_rule_search", f"{_ORDER_RULES} SELECT rule_code, {_FAMILY} AS family, CASE WHEN enabled THEN 'active' ELSE 'inactive' END AS status FROM cur WHERE (contains(lower(rule_code), 'high') OR contains(lower(description), 'high')) AND enabled AND list_contains(tags, '2-HIGH') AND list_contains(tags, 'family:O')")
+def _(spark, sf_dir):
+    return catalog.search(catalog.current(_order_history(spark, sf_dir)), "HIGH", status="active", tags=["2-HIGH", "family:O"]).select("rule_code", "family", "status")
+
+
+@query("orders_rules_page", f"{_ORDER_RULES} SELECT rule_code, priority FROM cur ORDER BY priority DESC, rule_code LIMIT 20 OFFSET 40")
+def _(spark, sf_dir):
+    return catalog.page(catalog.current(_order_history(spark, sf_dir)), 2, 20).select("rule_code", "priority")
+
+
 # --- Streams ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -535,3 +726,16 @@ def _(spark, sf_dir):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/rules")
         run(events_.where(F.col("event_id") % 3 == n), n)
     return spark.read.parquet(f"{base}/out")
+
+
+@query("throughput_stream", "SELECT time_bucket(INTERVAL 1 SECOND, ts::TIMESTAMP) AS window_start, count(*) AS n FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    """Events by second on a stream with a watermark. Each micro-batch writes the windows that it changed; a window's last count is the result."""
+    base = f"{shared_dir(spark)}/throughput-{uuid.uuid4().hex}"
+    schema = _read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = metrics.throughput(stream, "ts", "1 second", late="10 minutes")
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{base}/out")
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out").groupBy("window_start").agg(F.max_by("n", "batch").alias("n"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")

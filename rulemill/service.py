@@ -18,6 +18,7 @@ from . import diagnose, metrics
 from .catalog import RuleCatalog
 from .functions.events import BOOLEAN, NUMBER, OTHER, STRING, EventView, canonical
 from .model import FIRST_MATCH, CompilationError, Rule
+from .monitor import MetricsRegistry
 from .operators.registry import kind_of_value
 from .plans import CompiledRules, compile_rules, evaluate, match_arrays
 
@@ -55,8 +56,8 @@ def views(spark: SparkSession, events: list[dict]) -> list[EventView]:
 class RuleService:
     """Evaluates with the catalog's enabled rules as last compiled. A change that leaves a set that doesn't compile keeps the last good one."""
 
-    def __init__(self, spark: SparkSession, catalog: RuleCatalog, selection: str = FIRST_MATCH, listener: Callable[[str, dict], None] | None = None):
-        self.spark, self.catalog, self.selection, self.listener = spark, catalog, selection, listener
+    def __init__(self, spark: SparkSession, catalog: RuleCatalog, selection: str = FIRST_MATCH, listener: Callable[[str, dict], None] | None = None, compiler: Callable[..., CompiledRules] = compile_rules, registry: MetricsRegistry | None = None):
+        self.spark, self.catalog, self.selection, self.listener, self.compiler, self.registry = spark, catalog, selection, listener, compiler, registry
         self.compiled: CompiledRules | None = None
         self.fault = ""
         self.reload()
@@ -64,7 +65,7 @@ class RuleService:
     def reload(self) -> bool:
         """Compile the catalog's rules; whether that worked."""
         try:
-            self.compiled, self.fault = compile_rules(self.catalog.rules(), self.listener), ""
+            self.compiled, self.fault = self.compiler(self.catalog.rules(), self.listener), ""
             return True
         except CompilationError as e:
             self.fault = str(e)
@@ -110,9 +111,14 @@ class RuleService:
         began = time.perf_counter_ns()
         found = {r.event_id: [m.asDict() for m in r.matched_rules] for r in match_arrays(self._matches(events)).collect()}
         nanos = (time.perf_counter_ns() - began) // len(events)
-        results = [{"eventId": str(e.get("eventId")), "matchedRules": found.get(str(e.get("eventId")), []), "rulesEvaluated": len(self._rules().rules), "evaluationTimeNanos": nanos} for e in events]
+        results = [{"eventId": str(e.get("eventId")), "matchedRules": found.get(str(e.get("eventId")), []), "rulesEvaluated": len(self._rules().rules), "predicatesEvaluated": len(self._rules().predicates()), "evaluationTimeNanos": nanos} for e in events]
         frame = self.spark.createDataFrame([(r["eventId"], len(r["matchedRules"]), nanos) for r in results], "event_id string, n_matched long, nanos long")
-        return {"results": results, "stats": metrics.batch_stats(frame, "nanos").first().asDict()}
+        stats = metrics.batch_stats(frame, "nanos").first().asDict()
+        if self.registry is not None:
+            self.registry.add("events_evaluated", stats["total_events"])
+            self.registry.add("rules_matched", stats["total_matched"])
+            self.registry.record("evaluation_nanos", nanos)
+        return {"results": results, "stats": stats}
 
     def explain(self, event: dict, code: str) -> list[dict]:
         (view,) = views(self.spark, [event])

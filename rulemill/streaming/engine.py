@@ -32,18 +32,20 @@ class RuleSource:
     stamp: tuple | None = None
     faults: list[str] = field(default_factory=list)
     loaded: int = 0
+    compiler: Callable[..., CompiledRules] = compile_rules
 
     def _stamp(self) -> tuple:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        s = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
-        return s.getModificationTime(), s.getLen()
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files = [(f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(p)]  # of a file, itself; object stores keep no time of a folder
+        return tuple(sorted(files))
 
     def compiled(self) -> CompiledRules:
         try:
             stamp = self._stamp()
             if stamp != self.stamp:
                 self.stamp = stamp
-                self.last = compile_rules(load_rules(self.spark, self.path))
+                self.last = self.compiler(load_rules(self.spark, self.path))
                 self.loaded += 1
         except Exception as e:
             if self.last is None:
