@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common
+
 ROUNDS = 6
 PRIME = (1 << 31) - 1
 
@@ -120,10 +122,11 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 2024, id_col: str = "do
 
     Returns id, size (UTF-8 bytes of the text, plus 1; a null text has none), text_crc32 (of those bytes; a null text counts as
     empty: 0), row_number, place, shard and slot. Texts are not shuffled, only ids, sizes and checksums. A null id is a value like others; rows equal in id,
-    checksum and size are interchangeable and get different places. An empty table gives an empty table; further columns are not read.
+    checksum and size are interchangeable and get different places. An empty table gives an empty table; further columns, whatever their names, are not read. Texts are read whole, however long.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    slim = common.stored(slim, "slim")  # texts are read once, not for each use of their sizes and checksums
     numbered, n = number_rows(slim, [id_col, "text_crc32", "size"])
     placed = permute(numbered, "row_number", "place", n, seed)
     return placed.select(id_col, "size", "text_crc32", "row_number", "place", F.expr(f"cast(place % {shards} as int)").alias("shard"), F.expr(f"place div {shards}").alias("slot"))

@@ -159,7 +159,7 @@ def _blank_free(url: str | None) -> str:
 def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, date: str = "20240101000000") -> DataFrame:
     """Put pages into ARC files and convert these: one row per page with the converted record.
 
-    Returns the id, row (a number for this run), digest, payload_bytes and record (a gzip member). The page's id travels in an HTTP header of the ARC body.
+    Returns the id, row (a number for this run), digest, payload_bytes, record_id, uri and record (a gzip member). The page's id travels in an HTTP header of the ARC body.
     A null html is an empty payload, a null address about:blank.
     """
     kind = pages.schema[id_col].dataType.simpleString()
@@ -178,22 +178,23 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 if fields["URL"].startswith("filedesc:"):
                     continue
                 head, block, payload = convert(fields, body)
-                out.append((dict(head)["WARC-Payload-Digest"].removeprefix("sha256:"), len(payload), _gzip(warc_record(head, block))))
+                named = dict(head)
+                out.append((named["WARC-Payload-Digest"].removeprefix("sha256:"), len(payload), named["WARC-Record-ID"], named["WARC-Target-URI"], _gzip(warc_record(head, block))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(range(base + n, base + n + len(out)), pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
-                [id_col, "row", "digest", "payload_bytes", "record"],
+                [batch.column(0), pa.array(range(base + n, base + n + len(out)), pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out]), pa.array([x[3] for x in out]), pa.array([x[4] for x in out], pa.binary())],
+                [id_col, "row", "digest", "payload_bytes", "record_id", "uri", "record"],
             )
             n += len(out)
 
-    return pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"`{id_col}` {kind}, row long, digest string, payload_bytes long, record binary")
+    return pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html")).mapInArrow(run, f"`{id_col}` {kind}, row long, digest string, payload_bytes long, record_id string, uri string, record binary")
 
 
 def originals(records: DataFrame, id_col: str = "page_id", least: int = LEAST_REVISIT) -> DataFrame:
     """row and refers_to of every record that repeats an earlier payload of at least ``least`` bytes; the smallest id (nulls last, then the row) stays. A very common payload is looked up by broadcast."""
-    slim = records.where(F.col("payload_bytes") >= least).select("digest", "row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row").alias("me"))
+    slim = records.where(F.col("payload_bytes") >= least).select("digest", "row", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row", "record_id", "uri").alias("me"))
     groups = slim.groupBy("digest").agg(F.min("me").alias("first"), F.count("*").alias("n")).where("n > 1")
     found = common.with_lookup(slim, "digest", groups, "n", common.hot_limit(records.count()))
-    return found.where("first IS NOT NULL AND first.row <> row").select("row", F.struct(F.col("first")["id"].alias("id")).alias("first"))
+    return found.where("first IS NOT NULL AND first.row <> row").select("row", F.struct(F.col("first")["id"].alias("id"), F.col("first")["record_id"].alias("record_id"), F.col("first")["uri"].alias("uri")).alias("first"))
 
 
 def write_archives(records: DataFrame, revisits: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -202,7 +203,7 @@ def write_archives(records: DataFrame, revisits: DataFrame, folder: str, file_by
     Each attempt of a task writes under names of its own, and only the successful attempt's names come into the manifest, so lost executors and
     repeated tasks leave no double records. Works with every store that pyarrow opens.
     """
-    joined = records.select("row", "record", "digest", "payload_bytes").join(revisits, "row", "left").select("record", "digest", "payload_bytes", F.col("first").isNotNull().alias("again"), F.col("first")["id"].cast("string").alias("of"))
+    joined = records.select("row", "record", "digest", "payload_bytes").join(revisits, "row", "left").select("record", "digest", "payload_bytes", F.col("first").isNotNull().alias("again"), F.col("first")["id"].cast("string").alias("of"), F.col("first")["record_id"].alias("of_record"), F.col("first")["uri"].alias("of_uri"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -218,7 +219,7 @@ def write_archives(records: DataFrame, revisits: DataFrame, folder: str, file_by
                     info = b"software: rulemill\r\nformat: WARC File Format 1.0\r\n"
                     head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
                     out.write(_gzip(warc_record(head, info)))
-                data = revisit(row["record"], row["payload_bytes"], row["of"]) if row["again"] else row["record"]
+                data = revisit(row["record"], row["payload_bytes"], row["of"], row["of_record"], row["of_uri"]) if row["again"] else row["record"]
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= file_bytes:
@@ -234,11 +235,11 @@ def write_archives(records: DataFrame, revisits: DataFrame, folder: str, file_by
     return common.stored(joined.mapInArrow(run, "file string, records long"), "manifest")
 
 
-def revisit(record: bytes, payload_bytes: int, of: str | None) -> bytes:
-    """The revisit record of a response record: the HTTP head alone, with the digest of the full payload."""
+def revisit(record: bytes, payload_bytes: int, of: str | None, of_record: str, of_uri: str) -> bytes:
+    """The revisit record of a response record: the HTTP head alone, with the digest of the full payload and the original's record id, address and date (all pages here have one)."""
     head, block = next(read_warc(io.BytesIO(zlib.decompress(record, 31))))
     block = block[: len(block) - payload_bytes]
-    head = {k: v for k, v in head.items() if k not in ("Content-Length", "WARC-Block-Digest")} | {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "X-Payload-Length": str(payload_bytes), "X-Refers-To-Page": of or ""}
+    head = {k: v for k, v in head.items() if k not in ("Content-Length", "WARC-Block-Digest")} | {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": of_record, "WARC-Refers-To-Target-URI": of_uri, "WARC-Refers-To-Date": head["WARC-Date"], "X-Payload-Length": str(payload_bytes), "X-Refers-To-Page": of or ""}
     head["WARC-Block-Digest"] = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
     return _gzip(warc_record(list(head.items()), block))
 
@@ -283,7 +284,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", version: int = 1) -> DataFrame:
-    """Pages to ARC, to WARC files in the shared folder, and back. Repeated rows and null ids keep a record each; an empty table gives an empty table; further columns are not read."""
+    """Pages to ARC, to WARC files in the shared folder, and back. Repeated rows and null ids keep a record each; an empty table gives an empty table; further columns, whatever their names, are not read. Payloads are kept whole, however long."""
     spark = pages.sparkSession
     records = common.stored(convert_pages(pages, id_col, version=version), "records")
     folder = common.shared_path(spark, "warc")

@@ -92,6 +92,20 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_shards_equal_a_full_recomputation(spark):
+    """Row number from the order of buckets and keys, place from the permutation on integers, shard and slot from the place."""
+    r = random.Random(8)
+    data = [(i, "é" * r.randint(0, 40) + "x" * r.randint(0, 3000)) for i in range(700)] + [(None, "n"), (None, None), (5, "again"), (6, "y" * 400_000)]
+    docs = rows(spark, [(i, t, 1, 2, 3) for i, t in data], "doc_id long, text string, _bucket int, _size int, place int").repartition(6)
+    got = sorted((str(g.doc_id), g.size, g.text_crc32, g.row_number, g.place, g.shard, g.slot) for g in sharding.shard(docs, 16).collect())
+    slim = [(i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in data]
+    bucket = lambda x: zlib.crc32("|".join("null" if v is None else str(v) for v in x).encode()) % 256
+    ordered = sorted(slim, key=lambda x: (bucket(x), x[0] is not None, x[0] or 0, x[1], x[2]))
+    place = [sharding.permute_int(k, len(ordered), 2024) for k in range(len(ordered))]
+    assert got == sorted((str(i), size, crc, k, p, p % 16, p // 16) for k, ((i, crc, size), p) in enumerate(zip(ordered, place, strict=True)))
+    assert sorted(place) == list(range(len(data)))
+
+
 # --- Decontamination -----------------------------------------------------------------------------------------------------------
 
 
@@ -185,6 +199,27 @@ def test_round_trip(spark, version):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_name_their_original(spark, tmp_path):
+    import os
+
+    pages = rows(spark, [(i, f"http://x.org/{i}", "z" * 200 if i != 3 else "q" * 200) for i in range(5)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    records = common.stored(warc.convert_pages(pages), "records")
+    warc.write_archives(records, warc.originals(records), folder).collect()
+    heads = [h for name in os.listdir(f"{tmp_path}/w") for h, _ in warc.read_warc(io.BytesIO(b"".join(inflate(open(f"{tmp_path}/w/{name}", "rb").read()))))]
+    ids = {h["WARC-Target-URI"]: h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    again = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert set(ids) == {"http://x.org/0", "http://x.org/3"} and len(again) == 3
+    assert all((h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) == (ids["http://x.org/0"], "http://x.org/0", "2024-01-01T00:00:00Z") for h in again)
+
+
+def inflate(raw):
+    while raw:
+        z = zlib.decompressobj(31)
+        yield z.decompress(raw)
+        raw = z.unused_data
+
+
 def test_repeated_rows_and_null_ids(spark):
     pages = rows(spark, [(1, "u", "x" * 200), (1, "u", "x" * 200), (None, "u", "x" * 200), (None, "u", "short")], "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
