@@ -395,3 +395,101 @@ def test_untrained_model(spark):
 def test_beats_base_on_held_out(docs):
     held = [r for r in lm.fit_and_score(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+# --- Whole queries against plain loops ------------------------------------------------------------------------------------------
+
+
+def plain_mixture(model, text):
+    """Shares of the selected languages of a text, one word and one language at a time; None without letters."""
+    ws = [w for w in langid.split(text or "") if any(c.isalpha() for c in w)]
+    if not ws or not model.langs:
+        return None
+    lls = []
+    for w in ws:
+        letters = "".join(c for c in w.lower() if c.isalpha())
+        marked, total = f"^{letters}$", [0.0] * len(model.langs)
+        for i in range(len(letters)):
+            g = marked[i : i + 3]
+            row = next((model.rows[k] for k in (g, g[1:], g[2:]) if k in model.rows), -1)
+            total = [a + float(b) for a, b in zip(total, model.table[row], strict=True)]
+        lls.append(total)
+    scaled = [[max(math.exp(v - max(ll)), 1e-30) for v in ll] for ll in lls]
+
+    def fit(allowed):
+        pi = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(model.langs))]
+        for _ in range(langid.EM_STEPS):
+            sums = [0.0] * len(pi)
+            for p in scaled:
+                z = sum(a * b for a, b in zip(pi, p, strict=True))
+                sums = [s + a * b / z for s, a, b in zip(sums, pi, p, strict=True)]
+            pi = [max(s / len(scaled), 1e-6) if k in allowed else 0.0 for k, s in enumerate(sums)]
+            pi = [x / sum(pi) for x in pi]
+        return pi, sum(math.log(sum(a * b for a, b in zip(pi, p, strict=True))) for p in scaled)
+
+    single = [sum(math.log(p[k]) for p in scaled) for k in range(len(model.langs))]
+    top = single.index(max(single))
+    best, value = [float(k == top) for k in range(len(single))], single[top]
+    everything = fit(range(len(single)))[0]
+    rank = sorted(range(len(single)), key=lambda k: (-everything[k], k))
+    for size in range(2, len(single) + 1):
+        if everything[rank[size - 1]] <= langid.LEAST_SHARE:
+            break
+        pi, like = fit(rank[:size])
+        if like - langid.PENALTY * (size - 1) * math.log(len(scaled) + 1) > value:
+            best, value = pi, like - langid.PENALTY * (size - 1) * math.log(len(scaled) + 1)
+    return best
+
+
+def test_languages_equal_plain_loops(spark, docs):
+    model = langid.fit(docs)
+    texts = dict(docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect())
+    keys = sorted(texts)
+    texts |= {-1: " ".join((texts[a] or "")[:300] + " " + (texts[b] or "")[:200] for a, b in zip(keys[:8], keys[8:16], strict=True)), -2: None, -3: "12 ..", -4: "日本語" * 100}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    for d, text in texts.items():
+        want = plain_mixture(model, text)
+        if want is None:
+            assert (got[d].lang_pred, got[d].score, got[d].langs) == ("und", 0.0, [])
+        else:
+            assert got[d].lang_pred == model.langs[want.index(max(want))]
+            assert dict(zip(got[d].langs, got[d].shares, strict=True)) == pytest.approx({model.langs[k]: x for k, x in enumerate(want) if x > 0}, rel=1e-3, abs=1e-6)
+
+
+def test_toxicity_equals_plain_loops(spark, docs, labels):
+    g = toxicity.fit(docs, labels)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    texts = dict(docs.join(toxic, "doc_id").select("doc_id", "text").union(docs.select("doc_id", "text").orderBy("doc_id").limit(60)).collect())
+    texts |= {-1: None, -2: "", -3: "you idiot! they said: you are no idiot. I kill you"}
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), g).collect()}
+    for d, text in texts.items():
+        read = [g.read(w) for w in (text or "").replace("\n", " . ").split()]
+        clauses, now = [], []
+        for s, w in read:
+            now.append((s & 7, w))
+            if s & 8 or s & 7 == toxicity.END:
+                clauses.append(now)
+                now = []
+        found = [[(label, weight + c[i][1]) for i, label, weight in by_hand([s for s, _ in c], g.paths)] for c in [*clauses, now]]
+        found = [c for c in found if c]
+        x = [0.0] * toxicity.FEATURES
+        if found:
+            for c in found:
+                for label, _ in c:
+                    x[label] += 1
+            hits, paths = sum(x), [max(0.0, sum(w for _, w in c)) for c in found]
+            x = [math.log1p(v) for v in x[:16]] + [math.log1p(hits), math.log1p(sum(paths)), math.log1p(max(paths)), math.log1p(sum(p > 0 for p in paths)), math.log1p(100 * sum(paths) / len(read)), math.log1p(len({w for c in found for _, w in c}))]
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, g.weights, strict=True)) + g.bias))), rel=1e-6), d
+
+
+def test_quality_equals_plain_loops(spark, docs, labels):
+    net = quality.fit(docs, labels)
+    texts = dict(docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()) | {-1: None, -2: "", -3: "word " * 30_000}
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), net).collect()}
+    for d, text in texts.items():
+        terms = [quality.term(w) for w in quality.split(text)]
+        x = [sum(float(net.vectors[t][k]) for t in terms) / len(terms) if terms else 0.0 for k in range(quality.DIM)] + [math.log1p(len(terms)) / 10]
+        z = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale, strict=True)]
+        h = [math.tanh(sum(v * net.w1[i][j] for i, v in enumerate(z)) + net.b1[j]) for j in range(len(net.b1))]
+        logit = (sum(v * w for v, w in zip(h, net.w2, strict=True)) + net.b2) / net.temperature
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-3, abs=1e-6), d
