@@ -38,7 +38,7 @@ CHEAP = 20
 #: Sketch bits that may differ. At similarity 0.8 they are 6.4 on average, with a deviation of 2.4.
 SKETCH_BITS = 19
 MOST_BROADCAST_IDS = 500_000
-LEAF_BLOCK = 1024
+LEAF_BLOCK = 512
 _MASK = (1 << 64) - 1
 
 
