@@ -30,6 +30,9 @@ from . import common
 BEGIN, END, FIRST = 0, 1, 2
 PAIRS_PER_SHARD = 4_000_000
 HOT_SHARE = 1000
+#: A task deals its sums to at most so many receivers; where there are more shards, each receiver stands for a run of them and deals again.
+FAN = 1024
+DEALT = "shard int, keys binary, counts binary, docs long"
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +331,8 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     folder = common.local_path(uri)
     shards = 1 << max(3, (texts.rdd.getNumPartitions() // 2).bit_length())
     bits = shards.bit_length() - 1
-    schema = "shard int, keys binary, counts binary, docs long"
+    words_per = _per(shards)
+    word_shard = lambda k: (k >> np.uint64(64 - bits)).astype(np.int64)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n_docs = _Sums(), 0
@@ -337,7 +341,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             sums.add(*np.unique(h, return_counts=True))
             n_docs += batch.num_rows
         k, c = sums.result()
-        yield from _deal(k, c, (k >> np.uint64(64 - bits)).astype(np.int64), shards, n_docs)
+        yield from _dealt_out(k, c, word_shard(k), shards, n_docs, words_per)
 
     def store_words(key, frame):
         import pandas as pd
@@ -345,7 +349,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         k, c = _merge(frame)
         return pd.DataFrame({"shard": [key[0]], "keys": [_save(folder, k)], "counts": [_save(folder, c.astype(np.uint64))], "n": [len(k)], "tokens": [int(c.sum())], "docs": [int(frame.docs.sum())]})
 
-    got = common.stored(texts.mapInArrow(count_words, schema).groupBy("shard").applyInPandas(store_words, "shard int, keys string, counts string, n long, tokens long, docs long"), "words").collect()
+    got = common.stored(_dealt_again(texts.mapInArrow(count_words, DEALT), word_shard, shards).groupBy("shard").applyInPandas(store_words, "shard int, keys string, counts string, n long, tokens long, docs long"), "words").collect()
     by = {r.shard: r for r in got}
     n_docs = sum(r.docs for r in got)
     empty = None
@@ -364,9 +368,14 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         return model
     first = spark.sparkContext.broadcast(model)  # names of files and a few numbers for each shard
     parts = max(8, -(-model.n_tokens // PAIRS_PER_SHARD))
-    ranges = max(1, -(-(n_words + FIRST) // (1 << 19)))
+    ranges = min(FAN, max(1, -(-(n_words + FIRST) // (1 << 19))))
     width = -(-(n_words + FIRST) // ranges)
 
+    pairs_per = _per(parts)
+
+    def pair_shard(k: np.ndarray) -> np.ndarray:
+        return shard_of(k, _hot_first(arrays(first.value), k), parts)
+
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, sums = arrays(first.value), _Sums()
         for batch in common.pieces(batches, "_text", 8 << 20):
@@ -376,7 +385,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             keep = np.flatnonzero(keep)
             sums.add(*np.unique(seq[keep].astype(np.uint64) << np.uint64(32) | seq[keep + 1].astype(np.uint64), return_counts=True))
         k, c = sums.result()
-        yield from _deal(k, c, shard_of(k, _hot_first(a, k), parts), parts, 0)
+        yield from _dealt_out(k, c, pair_shard(k), parts, 0, pairs_per)
 
     def profile(k, c):
         """For the words of sorted pairs with counts: rows of followers by count, and of predecessors, by range of ids."""
@@ -406,7 +415,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
             rows += profile(k, c)
         return pd.DataFrame(rows)
 
-    pairs = common.stored(texts.mapInArrow(count_pairs, schema).groupBy("shard").applyInPandas(store_pairs, "kind int, range int, ids string, values string, stats array<long>, a binary, b binary"), "pairs")
+    pairs = common.stored(_dealt_again(texts.mapInArrow(count_pairs, DEALT), pair_shard, parts).groupBy("shard").applyInPandas(store_pairs, "kind int, range int, ids string, values string, stats array<long>, a binary, b binary"), "pairs")
     files = {r.range: r for r in pairs.where("kind = 0").select("range", "ids", "values", "stats").collect()}
     none_k, none_c = _save(folder, np.zeros(0, np.uint64)), _save_small(folder, np.zeros(0, np.int64))
     model.pairs = [(files[s].ids, files[s]["values"]) if s in files else (none_k, none_c) for s in range(parts)]
@@ -443,8 +452,13 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
     model.pair_starts = [int(x) for x in np.concatenate(([0], np.cumsum(sizes)[:-1]))]
     if sum(sizes).bit_length() + model.bits > 64:
         raise ValueError("too many pairs and words for 64-bit numbers of triples")
-    shared, bits = spark.sparkContext.broadcast(model), np.uint64(model.bits)
-    schema = "shard int, keys binary, counts binary, docs long"
+    shared, bits, per = spark.sparkContext.broadcast(model), np.uint64(model.bits), _per(parts)
+
+    def triple_shard(k: np.ndarray) -> np.ndarray:
+        return arrays(shared.value).pair_shard((k >> bits).astype(np.int64))
+
+    def number_shard(k: np.ndarray) -> np.ndarray:
+        return arrays(shared.value).pair_shard(k.astype(np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, sums = arrays(shared.value), _Sums()
@@ -457,7 +471,7 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
             first = a.pair_numbers(u, _hot_first(a, u))[back].astype(np.uint64)
             sums.add(*np.unique(first << bits | seq[at + 2].astype(np.uint64), return_counts=True))
         k, c = sums.result()
-        yield from _deal(k, c, a.pair_shard((k >> bits).astype(np.int64)), parts, 0)
+        yield from _dealt_out(k, c, triple_shard(k), parts, 0, per)
 
     def store(key, frame):
         import pandas as pd
@@ -466,12 +480,14 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
         k, c = _merge(frame)
         pair = (k >> bits).astype(np.int64) - a.pair_starts[s]
         kinds = [_save_small(folder, np.bincount(pair[x], minlength=sizes[s])) for x in (c == 1, c == 2, c >= 3)]
-        rows = [{"kind": 0, "shard": s, "files": [_save(folder, k), _save_small(folder, c), *kinds], "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "a": None, "b": None}]
+        rows = [{"kind": 0, "shard": s, "files": [_save(folder, k), _save_small(folder, c), *kinds], "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "keys": None, "counts": None}]
         ends = a.pairs[s][0][pair] << np.uint64(32) | k & np.uint64((1 << int(bits)) - 1)
         u, n = np.unique(ends, return_counts=True)
         numbers = a.pair_numbers(u, _hot_first(a, u))
-        for t, i in _by_shard(a.pair_shard(numbers), parts):
-            rows.append({"kind": 1, "shard": t, "files": None, "stats": None, "a": (numbers[i] - a.pair_starts[t]).astype(np.uint32).tobytes(), "b": n[i].astype(np.uint32).tobytes()})
+        order = np.argsort(numbers)
+        numbers, n = numbers[order].astype(np.uint64), n[order]
+        for t, keys, counts, _ in _packed(numbers, n, number_shard(numbers) // per, -(-parts // per), 0):
+            rows.append({"kind": 1, "shard": t, "files": None, "stats": None, "keys": keys, "counts": counts})
         return pd.DataFrame(rows)
 
     def adjust(key, frame):
@@ -480,21 +496,23 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
         a, s = arrays(shared.value), key[0]
         k, own = a.pairs[s]
         c = np.zeros(len(k), np.int64)
-        for x, y in zip(frame.a, frame.b, strict=True):
-            c[np.frombuffer(x, np.uint32)] += np.frombuffer(y, np.uint32)
+        numbers, n = _merge(frame)
+        c[numbers.astype(np.int64) - a.pair_starts[s]] = n
         begin = np.flatnonzero(k >> np.uint64(32) == BEGIN)
         c[begin] = own[begin]
         return pd.DataFrame([{"kind": 0, "range": s, "ids": _save_small(folder, c), "stats": [int((c == i).sum()) for i in (1, 2, 3, 4)], "a": None, "b": None}, *({x: r[x] for x in ("kind", "range", "ids", "stats", "a", "b")} for r in profile(np.asarray(k), c))])
 
-    triples = common.stored(texts.mapInArrow(count, schema).groupBy("shard").applyInPandas(store, "kind int, shard int, files array<string>, stats array<long>, a binary, b binary"), "triples")
+    triples = common.stored(_dealt_again(texts.mapInArrow(count, DEALT), triple_shard, parts).groupBy("shard").applyInPandas(store, "kind int, shard int, files array<string>, stats array<long>, keys binary, counts binary"), "triples")
     files = {r.shard: r for r in triples.where("kind = 0").select("shard", "files", "stats").collect()}
     none = _save(folder, np.zeros(0, np.uint64))
     zeros = {n: _save_small(folder, np.zeros(n, np.int64)) for n in {sizes[s] for s in range(parts) if s not in files}}
     model.triples = [tuple(files[s].files[:2]) if s in files else (none, none) for s in range(parts)]
     model.kinds = [tuple(files[s].files[2:]) if s in files else (zeros[sizes[s]],) * 3 for s in range(parts)]
     model.triple_discounts = _discounts([int(x) for x in np.array([[0] * 4, *(r.stats for r in files.values())]).sum(0)])
-    every = spark.createDataFrame([(s, b"", b"") for s in range(parts)], "shard int, a binary, b binary")
-    out = common.stored(triples.where("kind = 1").select("shard", "a", "b").unionByName(every).groupBy("shard").applyInPandas(adjust, "kind int, range int, ids string, stats array<long>, a binary, b binary"), "adjusted")
+    before = _dealt_again(triples.where("kind = 1").select("shard", "keys", "counts", F.lit(0).cast("long").alias("docs")), number_shard, parts)
+    nothing = F.lit(b"")
+    every = spark.range(parts).select(F.col("id").cast("int").alias("shard"), nothing.alias("keys"), nothing.alias("counts"), F.lit(0).cast("long").alias("docs"))
+    out = common.stored(before.unionByName(every).groupBy("shard").applyInPandas(adjust, "kind int, range int, ids string, stats array<long>, a binary, b binary"), "adjusted")
     done = {r.range: r for r in out.where("kind = 0").select("range", "ids", "stats").collect()}
     model.adjusted = [done[s].ids for s in range(parts)]
     model.pair_discounts = _discounts([int(x) for x in np.array([r.stats for r in done.values()]).sum(0)])
@@ -513,16 +531,42 @@ def _hot_first(a: Arrays, pairs: np.ndarray) -> np.ndarray:
     return a.hot(counts) | (one == BEGIN)
 
 
-def _deal(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int, n_docs: int) -> Iterator[pa.RecordBatch]:
+def _per(shards: int) -> int:
+    """How many shards a receiver stands for. Found on the driver, so that all tasks agree."""
+    return -(-shards // FAN)
+
+
+def _packed(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int, n_docs: int, first: int = 0) -> Iterator[tuple[int, bytes, bytes, int]]:
     order, edges = _dealt(shard, shards)
     for s in range(shards):
         i = order[edges[s] : edges[s + 1]]
         if len(i) or n_docs:
-            keys, counts = _pack(k[i], c[i])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary()), pa.array([n_docs], pa.int64())], ["shard", "keys", "counts", "docs"])
+            yield first + s, *_pack(k[i], c[i]), n_docs
             n_docs = 0
 
 
+def _dealt_out(k: np.ndarray, c: np.ndarray, shard: np.ndarray, shards: int, n_docs: int, per: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and counts, packed, by run of ``per`` shards."""
+    for s, keys, counts, n in _packed(k, c, shard // per, -(-shards // per), n_docs):
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary()), pa.array([n], pa.int64())], ["shard", "keys", "counts", "docs"])
+
+
+def _dealt_again(rows: DataFrame, place, shards: int) -> DataFrame:
+    """Rows of runs of shards as rows of shards. A run's rows are split by the task that sent them into as many parts as it has shards, each about as large as a shard, so each part sends no more rows than that."""
+    per = _per(shards)
+    if per == 1:
+        return rows
+
+    def again(key, frame):
+        import pandas as pd
+
+        k, c = _merge(frame)
+        first = int(key[0]) * per
+        return pd.DataFrame(list(_packed(k, c, place(k) - first, per, int(frame.docs.sum()), first)), columns=["shard", "keys", "counts", "docs"])
+
+    return rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(per))).groupBy("shard", "part").applyInPandas(again, DEALT)
+
+
 def _merge(frame) -> tuple[np.ndarray, np.ndarray]:
     return add_up([np.cumsum(_unpack(x), dtype=np.uint64) for x in frame["keys"]], [_unpack(x).astype(np.int64) for x in frame["counts"]])
 

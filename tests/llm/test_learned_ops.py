@@ -328,6 +328,7 @@ def test_small_shards_and_hot_contexts_agree(spark, docs, monkeypatch):
     want = {r.doc_id: r.score for r in lm.fit_and_score(few).collect()}
     monkeypatch.setattr(lm, "PAIRS_PER_SHARD", 300)
     monkeypatch.setattr(lm, "HOT_SHARE", 20)
+    monkeypatch.setattr(lm, "FAN", 7)
     got = {r.doc_id: r.score for r in lm.fit_and_score(few.repartition(9)).collect()}
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
 
@@ -378,6 +379,7 @@ def test_order_three_equals_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
     monkeypatch.setattr(lm, "PAIRS_PER_SHARD", 300)
     monkeypatch.setattr(lm, "HOT_SHARE", 20)
+    monkeypatch.setattr(lm, "FAN", 3)
     again = {x.doc_id: x.score for x in lm.fit_and_score(df, order=3).collect()}
     assert [again[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
     assert math.isfinite(lm.score(df, lm.fit(df.limit(0), order=3)).first().score)
