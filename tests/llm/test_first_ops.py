@@ -167,6 +167,20 @@ def test_near_matches_equal_brute_force(spark, monkeypatch):
         assert {g.doc_id: sorted((m.position, str(m.item), m.n) for m in g.matches) for g in got} == exact
 
 
+def test_match_queries(spark):
+    from rulemill.llm import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = sorted(map(tuple, queries.decontamination_matches(spark, SF).select("doc_id", "item_id", "first_word", "n").collect()))
+    want = c.execute("SELECT doc_id, item_id, first_word, n FROM (" + queries.ORACLE_SQL["decontamination_matches"] + ")").fetchall()
+    assert got == sorted(want) and got
+    near = {r.doc_id: r for r in queries.decontamination_near(spark, SF).collect()}
+    assert all(r.n_near >= r.n_items for r in near.values()) and {d for d, *_ in got} == {d for d, r in near.items() if r.n_items}
+
+
 def test_decontamination_clashes(spark):
     docs = rows(spark, [(1, "one two three"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS _text", "3 AS ids", "4 AS n_words", "5 AS shard")
     bench = rows(spark, [(7, "one two"), (None, "x")], "item_id long, text string").selectExpr("*", "1 AS _item", "2 AS _text", "3 AS w", "4 AS items")
