@@ -191,6 +191,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     full = wanted.join(coded.select("rep", "copies", "code", "x"), "rep").select("dim", "bucket", "deal", "role", "rep", "copies", "code", "x")
     full = full.repartition("dim", "bucket", "deal").sortWithinPartitions("dim", "bucket", "deal", "role")
     found = common.stored(full.mapInArrow(compare, f"rep {kind}, links long, other {kind}"), "found")
+    common.drop(wanted, coded)
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = common.components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     by_class = classes.select("vk", "rep", "copies").join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")

@@ -52,7 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, before the driver ends."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def local_path(uri: str) -> str:
@@ -145,7 +155,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if total.n == 0 or (total.n, total.s) == last:
             break
         last = (total.n, total.s)
-        own = stored(_small_star(stored(_large_star(own, total.n), "star"), total.n), "edges")
+        star = stored(_large_star(own, total.n), "star")
+        before, own = own, stored(_small_star(star, total.n), "edges")
+        drop(before, star)
     else:
         raise RuntimeError("components did not settle")
     roots = own.select(F.col("v").alias("id")).distinct()

@@ -199,7 +199,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return common.stored(two.mapInArrow(compare, f"a {kind}, b {kind}"), "links")
+    links = common.stored(two.mapInArrow(compare, f"a {kind}, b {kind}"), "links")
+    common.drop(pairs, need, sets)
+    return links
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -253,7 +255,9 @@ def _leaf_links(leaves: DataFrame, docs: DataFrame, classes: DataFrame, width: i
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(ones, pa.int64())), rep.take(pa.array(others, pa.int64()))], ["a", "b"])
 
     dealt = rows.repartition("node", "rb", "mb").sortWithinPartitions("node", "rb", "mb")
-    return common.stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}"), "leaf-links")
+    links = common.stored(dealt.mapInArrow(compare, f"a {kind}, b {kind}"), "leaf-links")
+    common.drop(mixed, need, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL_NODE, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,6 +317,7 @@ def _grouped(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     groups = rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "sk", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     groups = groups.select("node", "lead", F.col("c").alias("size"), "c")
     found = common.stored(common.with_lookup(rows, "node", groups, "c", common.hot_limit(rows.count())).where("size IS NOT NULL"), "grouped")
+    common.drop(rows)
     others = found.where("comp <> lead.comp").where(_likely(F.col("n"), F.col("lead.n"), F.col("sk"), F.col("lead.sk"), percent))
     return found, others.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
 
