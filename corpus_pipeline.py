@@ -76,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop(before)
     return docs
