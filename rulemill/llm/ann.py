@@ -24,6 +24,8 @@ from . import common
 THRESHOLD = 0.95
 MISSED = 0.05
 MOST_FITTED = 20_000
+#: Components of all vectors fitted together: fewer vectors of very many dimensions are taken.
+MOST_COMPONENTS = 4_000_000
 LEAST_FITTED = 64
 MOST_BROADCAST_BUCKETS = 200_000
 BLOCK = 1024
@@ -111,7 +113,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """Link vectors of cosine >= threshold; one row per row of ``vectors``.
 
     Returns the id, n_links (other rows linked directly), component_id (the smallest id reachable, its own included) and kept (whether that is its own). The rotation is learned on
-    at most about ``most_fitted`` vectors; all rows are indexed and searched. Vectors of different dimensions have no cosine and never link; each dimension is searched by itself. Rows that are null or zero or
+    at most about ``most_fitted`` vectors, of MOST_COMPONENTS components together; all rows are indexed and searched. Vectors of different dimensions have no cosine and never link; each dimension is searched by itself. Rows that are null or zero or
     hold a null or non-finite component have no links and are kept; a null id has a null component. Equal vectors are one class of which every row links to the others. An empty table gives an empty
     table; further columns, whatever their names, are not read.
     """
@@ -119,8 +121,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     own = keyed(vectors, id_col, vec_col)
     kind = vectors.schema[id_col].dataType.simpleString()
     classes = common.stored(own.where("vk IS NOT NULL").groupBy("vk").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
-    n = classes.count()
+    n, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     p = plan(n, threshold)
+    most_fitted = max(LEAST_FITTED, min(most_fitted, MOST_COMPONENTS // longest))
     fitted: dict[int, list] = {}
     for r in common.bounded_sample(classes.select(F.col("rep").alias("id"), "v"), "id", most_fitted).select("v").collect():
         fitted.setdefault(len(r.v), []).append(r.v)
