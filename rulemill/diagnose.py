@@ -135,20 +135,22 @@ def conflicts(posts: DataFrame, threshold: float = 0.5, different_priority: bool
     uses = distinct.groupBy(F.col("predicate_id").alias("_id")).agg(F.count("*").alias("_uses"))
     ordered = distinct.join(uses, F.col("predicate_id") == F.col("_id"))
     sets = ordered.groupBy("rule_code").agg(F.first("priority").alias("priority"), F.array_sort(F.collect_list(F.struct("_uses", "predicate_id"))).alias("p"))
-    sets = sets.select("rule_code", "priority", F.transform("p", lambda x: x["predicate_id"]).alias("p"), F.size("p").alias("n"))
+    # Rules go by 64-bit hashes of their codes until pairs are confirmed.
+    sets = sets.select(F.xxhash64("rule_code").alias("h"), "rule_code", "priority", F.transform("p", lambda x: x["predicate_id"]).alias("p"), F.size("p").alias("n"))
     reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 if threshold else F.col("n")
-    rare = sets.select("rule_code", "priority", "n", F.explode(F.slice("p", F.lit(1), F.least(F.col("n"), reach).cast("int"))).alias("_id"))
-    a, b = (rare.select("_id", F.col("rule_code").alias(f"rule_{i}"), F.col("priority").alias(f"priority_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
-    pairs = a.join(b, "_id").where("rule_1 < rule_2").where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold - 1e-9)
+    rare = sets.select("h", "n", F.explode(F.slice("p", F.lit(1), F.least(F.col("n"), reach).cast("int"))).alias("_id"))
+    a, b = (rare.select("_id", F.col("h").alias(f"h_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
+    pairs = a.join(b, "_id").where("h_1 < h_2").where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold - 1e-9).select("h_1", "h_2").distinct()
+    one, two = (sets.select(F.col("h").alias(f"h_{i}"), F.struct("rule_code", "priority", "p", "n").alias(f"s_{i}")) for i in (1, 2))
+    both = pairs.join(one, "h_1").join(two, "h_2")
     if different_priority:
-        pairs = pairs.where("priority_1 <> priority_2")
-    one, two = (sets.select(F.col("rule_code").alias(f"rule_{i}"), F.col("p").alias(f"p_{i}")) for i in (1, 2))
-    both = pairs.select("rule_1", "rule_2", "n_1", "n_2").distinct().join(one, "rule_1").join(two, "rule_2")
-    shared = both.select("rule_1", "rule_2", "n_1", "n_2", F.size(F.array_intersect("p_1", "p_2")).cast("long").alias("shared"))
-    overlap = F.col("shared") / (F.col("n_1") + F.col("n_2") - F.col("shared"))
-    out = shared.withColumn("overlap", F.round(overlap, 6)).where(overlap >= threshold)
+        both = both.where("s_1.priority <> s_2.priority")
+    both = both.withColumn("shared", F.size(F.array_intersect("s_1.p", "s_2.p")).cast("long")).withColumn("swap", F.col("s_1.rule_code") > F.col("s_2.rule_code"))
+    side = lambda first, name: F.when(F.col("swap") == first, F.col(f"s_2.{name}")).otherwise(F.col(f"s_1.{name}"))
+    overlap = F.col("shared") / (F.col("s_1.n") + F.col("s_2.n") - F.col("shared"))
+    out = both.where(overlap >= threshold).select(side(True, "rule_code").alias("rule_1"), side(False, "rule_code").alias("rule_2"), "shared", (side(True, "n") - F.col("shared")).alias("unique_1"), (side(False, "n") - F.col("shared")).alias("unique_2"), F.round(overlap, 6).alias("overlap"))
     severity = F.when(F.col("overlap") > 0.8, "HIGH").when(F.col("overlap") > 0.6, "MEDIUM").otherwise("LOW")
-    return out.select("rule_1", "rule_2", "shared", (F.col("n_1") - F.col("shared")).alias("unique_1"), (F.col("n_2") - F.col("shared")).alias("unique_2"), "overlap", severity.alias("severity"))
+    return out.withColumn("severity", severity)
 
 
 def by_overlap(found: DataFrame, n: int | None = None) -> DataFrame:
