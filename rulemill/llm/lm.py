@@ -195,6 +195,16 @@ class Arrays:
         self.triples = [(_map(m.folder, k, np.uint64), _Small(m.folder, c)) for k, c in m.triples]
         self.kinds = [[_Small(m.folder, f) for f in fs] for fs in m.kinds]
         self.adjusted = [_Small(m.folder, f) for f in m.adjusted]
+        small = [x for fs in self.kinds for x in fs] + self.adjusted + [c for _, c in self.pairs] + [c for _, c in self.triples]
+        self.maps = [x for pair in self.words for x in pair] + [k for k, _ in self.pairs] + [k for k, _ in self.triples] + self.ids + [x.bytes for x in small]
+
+    def release(self) -> None:
+        """Let go of the pages that were read; the files stay mapped. So a worker's memory follows a batch, not the model."""
+        import mmap
+
+        for x in self.maps:
+            if (held := getattr(x, "_mmap", None)) is not None:
+                held.madvise(mmap.MADV_DONTNEED)
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
@@ -336,7 +346,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n_docs = _Sums(), 0
-        for batch in common.pieces(batches, "_text", 8 << 20):
+        for batch in common.pieces(batches, "_text", 4 << 20):
             h, _ = tokens(batch.column(0).to_pylist())
             sums.add(*np.unique(h, return_counts=True))
             n_docs += batch.num_rows
@@ -378,12 +388,13 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, sums = arrays(first.value), _Sums()
-        for batch in common.pieces(batches, "_text", 8 << 20):
+        for batch in common.pieces(batches, "_text", 4 << 20):
             seq, _, starts, n = sequence(a, batch.column(0).to_pylist())
             keep = np.ones(len(seq), bool)
             keep[starts + n + 1] = False
             keep = np.flatnonzero(keep)
             sums.add(*np.unique(seq[keep].astype(np.uint64) << np.uint64(32) | seq[keep + 1].astype(np.uint64), return_counts=True))
+            a.release()
         k, c = sums.result()
         yield from _dealt_out(k, c, pair_shard(k), parts, 0, pairs_per)
 
@@ -462,7 +473,7 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, sums = arrays(shared.value), _Sums()
-        for batch in common.pieces(batches, "_text", 8 << 20):
+        for batch in common.pieces(batches, "_text", 4 << 20):
             seq, _, starts, n = sequence(a, batch.column(0).to_pylist())
             keep = np.ones(len(seq), bool)
             keep[starts + n] = keep[starts + n + 1] = False
@@ -470,6 +481,7 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
             u, back = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64), return_inverse=True)
             first = a.pair_numbers(u, _hot_first(a, u))[back].astype(np.uint64)
             sums.add(*np.unique(first << bits | seq[at + 2].astype(np.uint64), return_counts=True))
+            a.release()
         k, c = sums.result()
         yield from _dealt_out(k, c, triple_shard(k), parts, 0, per)
 
@@ -488,6 +500,7 @@ def _fit_triples(model: Model, texts: DataFrame, sizes: list[int], profile) -> D
         numbers, n = numbers[order].astype(np.uint64), n[order]
         for t, keys, counts, _ in _packed(numbers, n, number_shard(numbers) // per, -(-parts // per), 0):
             rows.append({"kind": 1, "shard": t, "files": None, "stats": None, "keys": keys, "counts": counts})
+        a.release()
         return pd.DataFrame(rows)
 
     def adjust(key, frame):
@@ -650,8 +663,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = arrays(shared.value)
-        for batch in common.pieces(batches, "_text", 8 << 20):
+        for batch in common.pieces(batches, "_text", 4 << 20):
             n, known, base, value = score_texts(a, batch.column(1).to_pylist())
+            a.release()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())], ["_id", "n_tokens", "n_known", "base_score", "score"])
 
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
