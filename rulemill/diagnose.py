@@ -141,6 +141,8 @@ def conflicts(posts: DataFrame, threshold: float = 0.5, different_priority: bool
     rare = sets.select("h", "n", F.explode(F.slice("p", F.lit(1), F.least(F.col("n"), reach).cast("int"))).alias("_id"))
     a, b = (rare.select("_id", F.col("h").alias(f"h_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
     pairs = a.join(b, "_id").where("h_1 < h_2").where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold - 1e-9).select("h_1", "h_2").distinct()
+    # Pairs are small and their confirmation is not: without a set number of partitions they would be put into one task.
+    pairs = pairs.repartition(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h_1", "h_2")
     one, two = (sets.select(F.col("h").alias(f"h_{i}"), F.struct("rule_code", "priority", "p", "n").alias(f"s_{i}")) for i in (1, 2))
     both = pairs.join(one, "h_1").join(two, "h_2")
     if different_priority:
