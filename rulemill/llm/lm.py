@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BEGIN, END, FIRST = 0, 1, 2
-PAIRS_PER_SHARD = 4_000_000
+PAIRS_PER_SHARD = 1_500_000
 HOT_SHARE = 1000
 #: A task deals its sums to at most so many receivers; where there are more shards, each receiver stands for a run of them and deals again.
 FAN = 1024
@@ -58,7 +58,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
+    k, c = (keys[0], counts[0]) if len(keys) == 1 else (np.concatenate(keys), np.concatenate(counts))
     if not len(k):
         return k, c
     order = np.argsort(k, kind="stable")
@@ -581,7 +581,14 @@ def _dealt_again(rows: DataFrame, place, shards: int) -> DataFrame:
 
 
 def _merge(frame) -> tuple[np.ndarray, np.ndarray]:
-    return add_up([np.cumsum(_unpack(x), dtype=np.uint64) for x in frame["keys"]], [_unpack(x).astype(np.int64) for x in frame["counts"]])
+    """The sums of a group's rows. Each row is unpacked into its place, so that no second copy of all is held."""
+    sizes = [len(x) // 8 for x in frame["keys"]]
+    k, c, at = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64), 0
+    for x, y, n in zip(frame["keys"], frame["counts"], sizes, strict=True):
+        np.cumsum(_unpack(x), out=k[at : at + n], dtype=np.uint64)
+        c[at : at + n] = _unpack(y)
+        at += n
+    return add_up([k], [c])
 
 
 def probabilities(a: Arrays, one: np.ndarray, two: np.ndarray, c_one: np.ndarray) -> np.ndarray:
