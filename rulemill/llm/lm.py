@@ -378,7 +378,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         return model
     first = spark.sparkContext.broadcast(model)  # names of files and a few numbers for each shard
     parts = max(8, -(-model.n_tokens // PAIRS_PER_SHARD))
-    ranges = min(FAN, max(1, -(-(n_words + FIRST) // (1 << 19))))
+    ranges = min(FAN, max(1, -(-(n_words + FIRST) // (1 << 18))))
     width = -(-(n_words + FIRST) // ranges)
 
     pairs_per = _per(parts)
