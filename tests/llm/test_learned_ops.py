@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rulemill.llm import common, langid, lm, quality, toxicity
 
@@ -122,6 +123,18 @@ def test_long_runs_are_read_whole(spark):
 # --- Toxicity and quality ------------------------------------------------------------------------------------------------------
 
 
+def test_toxicity_ranks_held_out_rows_of_few_labels(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [(got[r.doc_id].score, r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    pairs = [(a > b) + (a == b) / 2 for a, y in held for b, z in held if y == 1 and z == 0]
+    assert sum(pairs) / len(pairs) >= 0.7
+    # Labels of held-out rows are never learned from.
+    blind = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, blind)).collect()} == pytest.approx({k: r.score for k, r in got.items()})
+
+
 def test_toxicity_held_out(docs, labels):
     got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
