@@ -123,36 +123,154 @@ def combinations(spark: SparkSession, compiled: CompiledRules) -> DataFrame:
     return spark.createDataFrame(rows, "rule_code string, priority int, combination string, predicate_id int, operator string")
 
 
+#: Pairs of rules go by rare predicates while the join of these has at most so many rows, or so few that it is cheaper than comparing blocks.
+MOST_JOINED = 1_000_000
+BLOCK_RULES = 1_000
+
+
 def conflicts(posts: DataFrame, threshold: float = 0.5, different_priority: bool = False) -> DataFrame:
     """Pairs of rules whose predicate sets overlap by Jaccard >= threshold: rule_1, rule_2, shared, unique_1, unique_2, overlap, severity.
 
     ``posts`` is a posting list (rule_code, priority, predicate_id). Each rule's predicates are ordered from rare to frequent; two sets of enough overlap share one of the first
     n - ceil(threshold * n) + 1, so only these rare ones are joined, between rules whose sizes allow the overlap, and each pair found is confirmed once on the whole sets.
+    Where even rare predicates are held by so many rules that this join would exceed the work of comparing all rules, blocks of rules are compared instead. Rows without code or predicate are left out.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie between 0 and 1")
+    posts = posts.where(F.col("rule_code").isNotNull() & F.col("predicate_id").isNotNull())
+    both = _by_blocks(posts, threshold, rules) if (rules := _crowded(posts, threshold)) else _by_rare_predicates(posts, threshold)
+    if different_priority:
+        both = both.where("priority_1 <> priority_2")
+    both = both.withColumn("swap", F.col("code_1") > F.col("code_2"))
+    side = lambda first, name: F.when(F.col("swap") == first, F.col(f"{name}_2")).otherwise(F.col(f"{name}_1"))
+    overlap = F.col("shared") / (F.col("n_1") + F.col("n_2") - F.col("shared"))
+    out = both.where(overlap >= threshold).select(side(True, "code").alias("rule_1"), side(False, "code").alias("rule_2"), "shared", (side(True, "n") - F.col("shared")).alias("unique_1"), (side(False, "n") - F.col("shared")).alias("unique_2"), F.round(overlap, 6).alias("overlap"))
+    severity = F.when(F.col("overlap") > 0.8, "HIGH").when(F.col("overlap") > 0.6, "MEDIUM").otherwise("LOW")
+    return out.withColumn("severity", severity)
+
+
+def _crowded(posts: DataFrame, threshold: float) -> int | None:
+    """The number of rules, if a join of rare predicates would exceed the work of comparing all rules. A row of the join costs about as much as 20,000 multiplications of two blocks' matrices."""
+    n = posts.dropDuplicates(["rule_code", "predicate_id"]).groupBy("rule_code").agg(F.count("*").alias("n"))
+    rules, rare = n.agg(F.count("*"), F.coalesce(F.sum(_reach(threshold)), F.lit(0))).first()
+    if rare * rules / 2 <= MOST_JOINED:
+        return None
+    predicates = posts.select("predicate_id").distinct().count()
+    crowded = lambda joined: joined > MOST_JOINED and joined * 20_000 >= rules * rules / 2 * predicates
+    if crowded(rare * rare / predicates / 2):  # a join has the fewest rows where all predicates are held alike
+        return rules
+    held = _rare(_sets(posts), threshold).groupBy("_id").agg(F.count("*").cast("double").alias("c"))
+    return rules if crowded(held.agg(F.sum(F.col("c") * F.col("c") / 2)).first()[0]) else None
+
+
+def _sets(posts: DataFrame) -> DataFrame:
+    """One row per rule: its predicates p from rare to frequent and their number n. Rules go by 64-bit hashes h of their codes until pairs are confirmed."""
     distinct = posts.dropDuplicates(["rule_code", "predicate_id"])
     uses = distinct.groupBy(F.col("predicate_id").alias("_id")).agg(F.count("*").alias("_uses"))
     ordered = distinct.join(uses, F.col("predicate_id") == F.col("_id"))
     sets = ordered.groupBy("rule_code").agg(F.first("priority").alias("priority"), F.array_sort(F.collect_list(F.struct("_uses", "predicate_id"))).alias("p"))
-    # Rules go by 64-bit hashes of their codes until pairs are confirmed.
-    sets = sets.select(F.xxhash64("rule_code").alias("h"), "rule_code", "priority", F.transform("p", lambda x: x["predicate_id"]).alias("p"), F.size("p").alias("n"))
-    reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 if threshold else F.col("n")
-    rare = sets.select("h", "n", F.explode(F.slice("p", F.lit(1), F.least(F.col("n"), reach).cast("int"))).alias("_id"))
+    return sets.select(F.xxhash64("rule_code").alias("h"), "rule_code", "priority", F.transform("p", lambda x: x["predicate_id"]).alias("p"), F.size("p").alias("n"))
+
+
+def _reach(threshold: float) -> Column:
+    """How many of a rule's n predicates count as rare."""
+    return F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) if threshold else F.col("n")
+
+
+def _rare(sets: DataFrame, threshold: float) -> DataFrame:
+    return sets.select("h", "n", F.explode(F.slice("p", F.lit(1), _reach(threshold).cast("int"))).alias("_id"))
+
+
+def _by_rare_predicates(posts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share a rare predicate: code, priority and n of both, and shared."""
+    sets = _sets(posts)
+    rare = _rare(sets, threshold)
     a, b = (rare.select("_id", F.col("h").alias(f"h_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
     pairs = a.join(b, "_id").where("h_1 < h_2").where(F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold - 1e-9).select("h_1", "h_2").distinct()
     # Pairs are small and their confirmation is not: without a set number of partitions they would be put into one task.
     pairs = pairs.repartition(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h_1", "h_2")
     one, two = (sets.select(F.col("h").alias(f"h_{i}"), F.struct("rule_code", "priority", "p", "n").alias(f"s_{i}")) for i in (1, 2))
     both = pairs.join(one, "h_1").join(two, "h_2")
-    if different_priority:
-        both = both.where("s_1.priority <> s_2.priority")
-    both = both.withColumn("shared", F.size(F.array_intersect("s_1.p", "s_2.p")).cast("long")).withColumn("swap", F.col("s_1.rule_code") > F.col("s_2.rule_code"))
-    side = lambda first, name: F.when(F.col("swap") == first, F.col(f"s_2.{name}")).otherwise(F.col(f"s_1.{name}"))
-    overlap = F.col("shared") / (F.col("s_1.n") + F.col("s_2.n") - F.col("shared"))
-    out = both.where(overlap >= threshold).select(side(True, "rule_code").alias("rule_1"), side(False, "rule_code").alias("rule_2"), "shared", (side(True, "n") - F.col("shared")).alias("unique_1"), (side(False, "n") - F.col("shared")).alias("unique_2"), F.round(overlap, 6).alias("overlap"))
-    severity = F.when(F.col("overlap") > 0.8, "HIGH").when(F.col("overlap") > 0.6, "MEDIUM").otherwise("LOW")
-    return out.withColumn("severity", severity)
+    names = [F.col(f"s_{i}.{name}").alias(f"{alias}_{i}") for i in (1, 2) for name, alias in (("rule_code", "code"), ("priority", "priority"), ("n", "n"))]
+    return both.select(*names, F.size(F.array_intersect("s_1.p", "s_2.p")).cast("long").alias("shared"))
+
+
+def _by_blocks(posts: DataFrame, threshold: float, rules: int, block_rules: int | None = None) -> DataFrame:
+    """The same by comparing all rules: a task multiplies the 0/1 matrices of two blocks of about ``block_rules`` rules, over some of their common predicates at a time, and returns pairs of enough overlap.
+
+    A task holds two blocks and their matrix of counts, however many rules there are; tasks are as many as pairs of blocks.
+    """
+    code, predicate = (posts.schema[c].dataType.simpleString() for c in ("rule_code", "predicate_id"))
+    blocks = max(1, -(-rules // (block_rules or BLOCK_RULES)))
+    distinct = posts.dropDuplicates(["rule_code", "predicate_id"])
+    sets = distinct.groupBy("rule_code").agg(F.first("priority").cast("int").alias("priority"), F.collect_list("predicate_id").alias("p"))
+
+    # Workers get these functions by value, so they import what they need and name nothing of this module.
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        lists = table.column("p").combine_chunks()
+        words = lists.flatten().dictionary_encode()
+        n = lists.value_lengths().to_numpy().astype(np.int32)
+        at, width = words.indices.to_numpy(), len(words.dictionary)
+        if width <= 32 * max(1, n.mean()):  # as bits, unless these take more room than numbers
+            bits = np.zeros((len(n), width), bool)
+            bits[np.repeat(np.arange(len(n)), n), at] = True
+            kind, raw = True, np.packbits(bits, axis=1).tobytes()
+        else:
+            kind, raw = False, at.astype(np.int32).tobytes()
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns = [table.column("block")[:1].combine_chunks(), one(table.column("rule_code").combine_chunks()), one(table.column("priority").combine_chunks()), one(pa.array(n)), one(words.dictionary), pa.array([kind]), pa.array([raw], pa.binary())]
+        return pa.Table.from_arrays(columns, ["block", "codes", "priorities", "n", "predicates", "bits", "raw"])
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        own, last = table.column("own")[0].as_py(), table.num_rows - 1
+
+        def side(row):
+            codes, priorities, n, predicates = (table.column(c).chunk(0)[row].values for c in ("codes", "priorities", "n", "predicates"))
+            n, raw = n.to_numpy(), table.column("raw")[row].as_py()
+            if table.column("bits")[row].as_py():
+                rules, at = np.nonzero(np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(n), -1), axis=1, count=len(predicates)))
+            else:
+                rules, at = np.repeat(np.arange(len(n)), n), np.frombuffer(raw, np.int32)
+            return codes, priorities, n.astype(np.int64), predicates, rules, at
+
+        def matrix(side, columns):
+            place = np.full(len(side[3]), -1)
+            place[columns] = np.arange(len(columns))
+            column = place[side[5]]
+            out = np.zeros((len(side[2]), len(columns)), np.float32)
+            out[side[4][column >= 0], column[column >= 0]] = 1
+            return out
+
+        a, b = side(0), side(last)
+        match = np.arange(len(a[3])) if last == 0 else pc.fill_null(pc.index_in(b[3], value_set=a[3]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        common = np.flatnonzero(match >= 0)
+        shared = np.zeros((len(a[2]), len(b[2])), np.float32)
+        for k in range(0, len(common), 2048):
+            part = common[k : k + 2048]
+            shared += matrix(a, match[part]) @ matrix(b, part).T
+        enough = (shared > 0) & (shared.astype(np.float64) / (a[2][:, None] + b[2][None, :] - shared) >= threshold)
+        if own:
+            enough = np.triu(enough, 1)
+        elif last == 0:  # the other block has no rules
+            enough[:] = False
+        i, j = np.nonzero(enough)
+        columns = [c for s, x in ((a, i), (b, j)) for c in (s[0].take(pa.array(x)), s[1].take(pa.array(x)), pa.array(s[2][x].astype(np.int32)))]
+        return pa.Table.from_arrays([*columns, pa.array(shared[i, j].astype(np.int64))], ["code_1", "priority_1", "n_1", "code_2", "priority_2", "n_2", "shared"])
+
+    # Tasks are set by number: bytes are few, work is not, so they must not be put together by size.
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("rule_code"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    packed = placed.groupBy("block").applyInArrow(pack, f"block int, codes array<{code}>, priorities array<int>, n array<int>, predicates array<{predicate}>, bits boolean, raw binary")
+    pairs = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_i": F.least("block", "_o"), "_j": F.greatest("block", "_o")}).withColumn("own", F.col("_i") == F.col("_j")).drop("_o")
+    tasks = max(1, min(blocks * (blocks + 1) // 2, max(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // 8)))
+    return pairs.repartition(tasks, "_i", "_j").groupBy("_i", "_j").applyInArrow(compare, f"code_1 {code}, priority_1 int, n_1 int, code_2 {code}, priority_2 int, n_2 int, shared long")
 
 
 def by_overlap(found: DataFrame, n: int | None = None) -> DataFrame:

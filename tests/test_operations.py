@@ -36,6 +36,33 @@ def test_conflicts_equal_brute_force(spark, threshold):
     assert ranked == sorted((o for _, o in want.values()), reverse=True)[:7]
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5])
+@pytest.mark.parametrize("wide,blocks", [(False, 1), (False, 7), (True, 46)])
+def test_conflicts_by_blocks_equal_brute_force(spark, threshold, wide, blocks):
+    r = random.Random(8)
+    values = [f"p{i}" for i in range(5000 if wide else 40)]  # wide: numbers take less room than bits
+    sets = {f"R{i}": {values[r.randrange(12)] if r.random() < 0.7 else r.choice(values) for _ in range(r.randint(1, 9))} for i in range(90)}
+    sets["R90"] = sets["R91"] = set(values[:3])
+    posts = spark.createDataFrame([(c, i % 3, p) for i, (c, s) in enumerate(sets.items()) for p in [*s, *s]], "rule_code string, priority int, predicate_id string")
+    want = {tuple(sorted((a, b))): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and x & y and len(x & y) / len(x | y) >= threshold}
+    got = diagnose._by_blocks(posts, threshold, len(sets), -(-len(sets) // blocks)).collect()
+    assert len(got) == len(want) and {tuple(sorted((g.code_1, g.code_2))): g.shared for g in got} == want
+    priority = {c: i % 3 for i, c in enumerate(sets)}
+    assert all((g.n_1, g.n_2, g.priority_1, g.priority_2) == (len(sets[g.code_1]), len(sets[g.code_2]), priority[g.code_1], priority[g.code_2]) for g in got)
+
+
+def test_conflicts_of_many_frequent_predicates_compare_blocks(spark):
+    posts = spark.range(3_000_000).select(F.concat(F.lit("R"), F.col("id") % 5000).alias("rule_code"), F.lit(1).alias("priority"), F.pmod(F.xxhash64("id"), F.lit(600)).alias("predicate_id"))
+    found = diagnose.conflicts(posts)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+    sets = np.zeros((5000, 600), np.float32)
+    for r in posts.groupBy("rule_code").agg(F.collect_set("predicate_id").alias("p")).collect():
+        sets[int(r.rule_code[1:]), r.p] = 1
+    shared, n = sets @ sets.T, sets.sum(1)
+    want = np.triu(shared / (n[:, None] + n[None, :] - shared) >= 0.5, 1).sum()
+    assert found.count() == want > 0
+
+
 def test_order_statistics_of_large_and_small_keys(spark):
     r = np.random.default_rng(1)
     data = {"hot": np.round(r.exponential(50, 60_000), 2), "ties": np.repeat([1.0, 2.0, 3.0], 20_000), "few": np.array([5.0, 1.0, 3.0]), "one": np.array([7.0])}
