@@ -32,6 +32,8 @@ MOST_BROADCAST_ROWS = 200_000
 #: With more shapes than this, those of fewer than RARE rules are compiled into columns.
 MOST_SHAPES, RARE = 24, 3
 CHUNK = 50
+#: Relational division: predicates in one number, and pairs of an event and a posting in one task.
+BITS, MOST_COUNTED = 62, 4_000_000
 
 
 def predicate_column(view: EventView, p: Predicate) -> Column:
@@ -358,17 +360,28 @@ def _param(v: Any) -> Any:
 
 
 def relational_division(view: EventView, compiled: CompiledRules) -> DataFrame:
-    """Count satisfied distinct predicates per event and rule; keep those with as many as the rule has."""
+    """Count satisfied distinct predicates per event and rule; keep those with as many as the rule has.
+
+    An event's satisfied predicates travel as bits of a few numbers, so rows of one event are joined by bitwise or. Only then are they unpivoted, joined with the rules' postings and counted, within partitions
+    whose number follows from the number of events: a task never counts more than about MOST_COUNTED pairs of an event and a posting, however many events there are.
+    """
     rules = compiled.live
     predicates = compiled.predicates()
     if not predicates:
         return _none(view)
     spark = view.df.sparkSession
     number = {p: i for i, p in enumerate(predicates)}
-    needs = spark.createDataFrame([(r.code, r.rule.priority, r.rule.description, r.rule.family, len(r.predicates), [number[p] for p in r.predicates]) for r in rules], "rule_code string, priority int, description string, family string, needs int, preds array<int>")
-    # A satisfied predicate is a row (event, predicate); values are tested by the operators' own columns, so absent attributes count as null ones.
-    tests = F.array_compact(F.array(*[F.when(predicate_column(view, p), F.lit(i)) for p, i in number.items()]))
-    satisfied = view.df.select("event_id", F.explode(tests).alias("pred")).distinct()
-    posts = needs.select("rule_code", "priority", "description", "family", "needs", F.explode("preds").alias("pred"))
-    side = F.broadcast(posts) if sum(len(r.predicates) for r in rules) <= MOST_BROADCAST_ROWS else posts
-    return satisfied.join(side, "pred").groupBy("event_id", "rule_code", "priority", "description", "family", "needs").agg(F.countDistinct("pred").alias("n")).where("n = needs").select("event_id", "rule_code", "priority", "description", "family")
+    needs = spark.createDataFrame([(i, r.code, r.rule.priority, r.rule.description, r.rule.family, len(r.predicates), [number[p] for p in r.predicates]) for i, r in enumerate(rules)], "rule int, rule_code string, priority int, description string, family string, needs int, preds array<int>")
+    # Values are tested by the operators' own columns, so absent attributes count as null ones.
+    words = [predicates[at : at + BITS] for at in range(0, len(predicates), BITS)]
+    masks = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(predicate_column(view, p), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long") for bit, p in enumerate(word)]).alias(f"_m{w}") for w, word in enumerate(words)]
+    postings = sum(len(r.predicates) for r in rules)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-view.df.count() * postings // MOST_COUNTED))
+    events = view.df.select("event_id", *masks).repartition(parts, "event_id").groupBy("event_id").agg(*[F.bit_or(f"_m{w}").alias(f"_m{w}") for w in range(len(words))])
+    # A satisfied predicate is a row (event, predicate).
+    held = F.array_compact(F.array(*[F.when(F.getbit(f"_m{i // BITS}", F.lit(i % BITS)) == 1, F.lit(i)) for i in number.values()]))
+    satisfied = events.select("event_id", F.explode(held).alias("pred"))
+    posts, named = needs.select("rule", F.explode("preds").alias("pred")), needs.drop("preds")
+    side = F.broadcast if postings <= MOST_BROADCAST_ROWS else lambda table: table
+    counts = satisfied.join(side(posts), "pred").groupBy("event_id", "rule").agg(F.count("*").alias("n"))
+    return counts.join(side(named), "rule").where("n = needs").select("event_id", "rule_code", "priority", "description", "family")

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,17 @@ def test_events_are_read_once(spark, tmp_path):
     rules = [rule("A", ("a", "EQ", "1"), ("b", "GT", 2)), rule("B", ("b", "EQ", 3)), rule("C", ("a", "IN", ["0", "2"]), ("b", "LT", 5))]
     plan = evaluate(event_view(spark.read.parquet(path)), compile_rules(rules))
     assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and plan.count() == 2 + 1 + 3
+
+
+def test_division_counts_a_bounded_number_of_postings_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules["rulemill.plans.evaluate"], "MOST_COUNTED", 10_000)
+    rules = compile_rules([{"rule_code": f"R{i}", "priority": 1, "conditions": [{"field": "a", "operator": "GREATER_THAN", "value": i}, {"field": "b", "operator": "NOT_EQUAL_TO", "value": i}]} for i in range(50)])  # 100 predicates: more than one number's bits
+    view = event_view(spark.range(2000).selectExpr("id AS event_id", "id % 60 AS a", "id % 7 AS b"))
+    found = evaluate(view, rules, "division")
+    got = sorted((r.event_id, r.rule_code) for r in found.collect())
+    assert got == sorted((e, f"R{i}") for e in range(2000) for i in range(50) if e % 60 > i and e % 7 != i)
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().toString()) and "20), REPARTITION" in plan  # 2000 events of 100 postings, 10,000 to a task
+    # Rows of one event count as one, whichever of them satisfies a predicate.
+    two = event_view(spark.createDataFrame([(1, 5, 0), (1, 0, 9), (2, 5, 0), (None, 1, 9)], "event_id int, a int, b int"))
+    one = compile_rules([{"rule_code": "R", "priority": 1, "conditions": [{"field": "a", "operator": "GREATER_THAN", "value": 3}, {"field": "b", "operator": "GREATER_THAN", "value": 3}]}])
+    assert [r.event_id for r in evaluate(two, one, "division").collect()] == [1]
