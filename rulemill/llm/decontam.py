@@ -26,6 +26,8 @@ from . import common
 
 WINDOW = 8
 BLOCK_WINDOWS = 250_000
+#: How many postings of a shard are unpacked, and how many candidates of windows are looked at, at a time.
+POSTINGS, CANDIDATES = 500_000, 200_000
 #: Lower-cases A-Z and turns every other ASCII byte that is not a-z or 0-9 into a space; bytes of other characters stay.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -107,29 +109,43 @@ class Shard:
     """A shard in memory with the postings of a block's terms: one sorted array of term number and position."""
 
     def __init__(self, terms: bytes, counts: bytes, deltas: bytes, lengths: bytes, tests: Tests):
-        n, d, self.lengths = _unplanes(counts), _unplanes(deltas), _unplanes(lengths)
+        n, self.lengths = _unplanes(counts), _unplanes(lengths)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))
         self.tests = tests
-        number = np.fromiter((tests.number.get(t, -1) for t in terms.split(b"\n")) if terms else (), np.int64)
-        run = np.cumsum(d)
-        first = np.cumsum(n) - n
-        at = run - np.repeat(run[first] - d[first], n) if len(n) else run
-        keep = np.repeat(number >= 0, n)
-        self.keys = np.sort((np.repeat(number, n)[keep] << 32) | at[keep])
+        number = np.fromiter((tests.number.get(t, -1) for t in bytes(terms).split(b"\n")) if len(terms) else (), np.int64)
+        # Only postings of the block's terms are unpacked, a run of their list at a time.
+        known = number >= 0
+        edges = np.cumsum(n)
+        planes = np.frombuffer(deltas, np.uint8).reshape(4, -1)
+        self.keys = np.empty(int(n[known].sum()), np.int64)
+        filled = a = 0
+        while a < len(n):
+            start = int(edges[a] - n[a])
+            b = max(a + 1, int(np.searchsorted(edges, start + POSTINGS, side="right")))
+            if known[a:b].any():
+                d = np.ascontiguousarray(planes[:, start : edges[b - 1]].T).view("<u4").ravel()
+                at = np.cumsum(d, dtype=np.int64)
+                first = edges[a:b] - n[a:b] - start
+                keep = np.repeat(known[a:b], n[a:b])
+                keys = (np.repeat(number[a:b][known[a:b]], n[a:b][known[a:b]]) << 32) + at[keep] - np.repeat((at[first] - d[first])[known[a:b]], n[a:b][known[a:b]])
+                self.keys[filled : filled + len(keys)] = keys
+                filled += len(keys)
+            a = b
+        self.keys.sort()
         edges = np.searchsorted(self.keys, np.arange(len(tests.number) + 1) << 32)
         self.first, self.count = edges[:-1], np.diff(edges)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
-    def candidates(self, most: int = 1_000_000):
+    def candidates(self, most: int = CANDIDATES):
         """For windows all of whose terms occur here: (window of each candidate, position of its rarest term, columns of the window's terms from rare to frequent), in runs of about ``most``."""
         rows = self.tests.rows
         if not len(self.keys):
             return
         n = np.where(rows >= 0, self.count[rows], np.iinfo(np.int64).max)
         full = np.flatnonzero(n.min(1) > 0)
-        order = np.argsort(n[full], axis=1, kind="stable")
+        order = np.argsort(n[full], axis=1, kind="stable").astype(np.int16)
         anchor = rows[full, order[:, 0]]
         size = self.count[anchor]
         total = np.cumsum(size)
@@ -250,7 +266,7 @@ def search(index: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col:
             items = pa.array(tests.items, pa_items)
             for batch in batches:
                 for row in range(batch.num_rows):
-                    get = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()  # noqa: B023, E731
+                    get = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_buffer()  # noqa: B023, E731
                     s = Shard(get("terms"), get("counts"), get("deltas"), get("lengths"), tests)
                     n = len(s.lengths)
                     w, at = s.phrases()
@@ -270,6 +286,8 @@ def search(index: DataFrame, bench: DataFrame, id_col: str = "doc_id", item_col:
                         columns.append(_items(s.doc_of(at)[of], owner, items, n))
                         names.append("near")
                     yield pa.RecordBatch.from_arrays(columns, names)
+                    del s, columns, w, at, of, owner, doc
+                    common.trim()
 
         schema = f"_id {kind}, shard long, doc long, n_words long, spans array<struct<a:long,b:long>>, items array<{item_kind}>" + f", matches array<struct<item:{item_kind}, position:long, n:int>>" * matches + f", near array<{item_kind}>" * (slop is not None)
         part = index.mapInArrow(run, schema)

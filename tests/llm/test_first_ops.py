@@ -3,6 +3,8 @@ import io
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +280,26 @@ def test_lookup_with_hot_keys(spark):
     found = data.where("k IS NOT NULL").groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     got = common.with_lookup(data, "k", found, "n", 100).groupBy("k").agg(F.min("m").alias("a"), F.max("m").alias("b"), F.min("v").alias("v")).collect()
     assert all((g.a == g.b == g.v) if g.k else g.a is None for g in got)
+
+
+@pytest.mark.parametrize("postings", [1, 5, 1 << 20])
+def test_shards_unpack_postings_in_runs(monkeypatch, postings):
+    monkeypatch.setattr(decontam, "POSTINGS", postings)
+    texts = ["a b c a b", None, "c c d e a", "", "x y z b"]
+    tests = decontam.Tests(b"b\nz\nq\na", np.array([[0, 1, 3]], np.int32).tobytes(), 3, np.zeros(1, np.int32).tobytes(), np.ones(1, np.int64).tobytes(), ["i"])
+    shard = decontam.Shard(*decontam._shard(texts), tests)
+    at, want = 0, []
+    for text in texts:
+        ws = decontam.words(text)
+        want += [tests.number[w] << 32 | at + k for k, w in enumerate(ws) if w in tests.number]
+        at += len(ws) + 1
+    assert shard.keys.tolist() == sorted(want) and shard.count.tolist() == [3, 1, 0, 3]
+    empty = decontam.Shard(*decontam._shard([]), tests)
+    assert not len(empty.keys) and not list(empty.candidates())
+
+
+def test_arrow_batches_of_large_rows_are_small(spark):
+    common.ship(spark)
+    wide = spark.range(24, numPartitions=1).selectExpr("repeat(chr(97 + id % 26), 4000000) AS x")
+    got = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in got) >= 96_000_000 and max(r.n for r in got) < 25_000_000
